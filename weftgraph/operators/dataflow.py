@@ -12,7 +12,8 @@ from weftgraph.functions.durable import durable
 def defined_name(statement: Column, raw: bool = False) -> Column:
     """The variable that a statement defines (``let v ...`` or ``v = ...``), else null.
 
-    ``let mut v`` defines ``v``; with ``raw`` it is the second word whatever that is.
+    ``let mut v`` defines ``v``. With ``raw`` the second word is taken whatever it is, and a statement
+    with "let " anywhere is no assignment.
     """
     word = F.split(F.regexp_replace(statement, r"^\s+|\s+$", ""), r"\s+")
     second = F.when(F.lit(raw) | (F.get(word, F.lit(1)) != "mut"), F.get(word, F.lit(1))).otherwise(F.get(word, F.lit(2)))
@@ -20,7 +21,8 @@ def defined_name(statement: Column, raw: bool = False) -> Column:
     at = F.instr(statement, " = ")
     target = F.regexp_replace(F.substring(statement, F.lit(1), at - 1), r"^\s+|\s+$", "")
     assigned = F.when((at > 0) & (target != ""), target)
-    return F.when(F.contains(statement, F.lit("let ")), let).otherwise(assigned)
+    is_let = F.contains(statement, F.lit("let ")) if raw else F.get(word, F.lit(0)) == "let"
+    return F.when(is_let, let).otherwise(assigned)
 
 
 def last_definition(rows: DataFrame, keys: list[str], order: list[str], is_def: Column, value: Column, out: str = "def_id") -> DataFrame:
