@@ -9,7 +9,7 @@ holds the cut, and only that range is sorted. Running sums go over 4,096 key ran
 with a third of all rows is dealt over as many tasks.
 
 Defined results: null text has size 0; a null source is a source of its own, ranked last; documents of
-size 0 take nothing; equal ids are ordered by size; reruns agree whatever the partitioning.
+size 0 bring no words and stay or go by their place in the queue (they go if their whole source has none); equal ids are ordered by size; reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
