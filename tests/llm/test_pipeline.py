@@ -60,6 +60,9 @@ def test_pack(stages):
     have, used, members = Counter(), Counter(), {}
     for r in stages[5].collect():
         have[r["doc_id"]] += r["size"]
+        if r["bin"] is None:
+            assert r["size"] == 0
+            continue
         used[r["bin"]] += r["size"]
         members.setdefault(r["bin"], []).append((r["source"], r["cluster"]))
     assert have == want and max(used.values()) <= CAPACITY

@@ -12,7 +12,7 @@ from weftgraph.llm import line_dedup, quality_rules, substring_dedup
 from weftgraph.llm.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op2_source_mixing", "op3_quality_rules", "op4_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_topk_search", "op2_source_mixing", "op3_quality_rules", "op4_line_dedup"])
 def test_against_sql(spark, sf_dir, name):
     check(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE_SQL[name])
 

@@ -13,8 +13,9 @@ from weftgraph.llm.simhash_dedup import op5_simhash_dedup
 from weftgraph.llm.source_mixing import ORACLE_SQL as SOURCE_MIXING_SQL
 from weftgraph.llm.source_mixing import op2_source_mixing
 from weftgraph.llm.substring_dedup import op9_sentence_span_dedup
+from weftgraph.llm.topk_search import ORACLE_SQL as TOPK_SEARCH_SQL
 from weftgraph.llm.topk_search import op1_topk_search
 from weftgraph.llm.url_filter import op6_url_filters
 
 QUERIES = {f.__name__: f for f in (op1_topk_search, op2_source_mixing, op3_quality_rules, op4_line_dedup, op5_simhash_dedup, op6_url_filters, op7_flow_resharding, op8_quality_classifier, op9_sentence_span_dedup, op10_best_fit_packing)}
-ORACLE_SQL = {"op2_source_mixing": SOURCE_MIXING_SQL, "op3_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL = {"op1_topk_search": TOPK_SEARCH_SQL, "op2_source_mixing": SOURCE_MIXING_SQL, "op3_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL}
