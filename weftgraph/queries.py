@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.functions import hashing as H
-from weftgraph.functions.metrics import time_stats
+from weftgraph.functions.metrics import large_time_stats
 from weftgraph.functions.ordering import dense_ids, joined_list
 from weftgraph.model import EDGE_KINDS, NODE_KINDS, PropertyGraph, code_of
 from weftgraph.operators import changes, dataflow, fkgraph, fusion, indices, paths, points_to, taint
@@ -434,7 +434,7 @@ def query_cost(spark, sf_dir):
 @query("""WITH v AS (SELECT event_type, CAST(floor(value * 1000) AS BIGINT) AS v FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, list(v ORDER BY v) AS l FROM v GROUP BY event_type)
 SELECT event_type, n, total, CAST(total // n AS BIGINT) AS mean, l[CAST(n * 50 // 100 AS BIGINT) + 1] AS p50, l[CAST(n * 95 // 100 AS BIGINT) + 1] AS p95, l[CAST(n * 99 // 100 AS BIGINT) + 1] AS p99 FROM s""")
 def parse_time_stats(spark, sf_dir):
-    return time_stats(read(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("v")), "v", "event_type")
+    return large_time_stats(read(spark, sf_dir, "events").select("event_type", F.floor(F.col("value") * 1000).cast("long").alias("v")), "v", "event_type")
 
 
 @query("""WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'let v' || user_id || ' = 1;' WHEN 1 THEN 'let mut m' || user_id || ': i32 = 2;' WHEN 2 THEN 'a' || user_id || ' = b;' WHEN 3 THEN 'call(' || user_id || ');' ELSE 'let x' || user_id || ';' END AS statement FROM events)
