@@ -41,7 +41,7 @@ def test_pruning_is_exact(seed):
     for q in range(0, 3000, 500):
         terms = np.sort(held[q][1])
         idf = np.log(1 + 3000 / (1 + terms.astype(float)))
-        docs, scores = shard.search(terms, idf, 10)
+        (docs, scores), = shard.search([(shard.find(terms), idf)], 10, np.zeros(1))
         full = np.zeros(3000)
         for i, t, c, n in held:
             norm = topk_search.K1 * (1 - topk_search.B + topk_search.B * n / 30.0)
