@@ -6,12 +6,15 @@ import os
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.cli import main
 from weftgraph.config import Config, ConfigError
 from weftgraph.engine import Engine
 from weftgraph.functions.hashing import cfg_hashes, graph_hash
-from weftgraph.operators.fusion import build_dfg, call_edges, fuse
+from weftgraph.operators import points_to
+from weftgraph.operators.fusion import build_dfg, call_edges, extension_edges, fuse
+from weftgraph.operators.semantic import SemanticEpoch
 from weftgraph.sources import rust, snapshot
 from weftgraph.sources.recovery import CLEAN, CORRUPTED, PARTIAL, RecoveryManager
 from weftgraph.sources.scan import EMPTY, RepoScanner, snapshot_hash
@@ -70,6 +73,17 @@ def test_else_and_loops():
     assert kinds("fn t() { for i in 0..3 { f(i); } }") == ["Entry", "Exit", "Statement"]
 
 
+def test_precise_flow():
+    edges = lambda src: cfg(f"fn t() {{ {src} }}", precise=True)[1]
+    assert edges("if a { f(); } g();") == [(0, 2, "Normal"), (2, 4, "True"), (4, 3, "Normal"), (2, 3, "False"), (3, 5, "Normal"), (5, 1, "Normal")]
+    assert edges("if a {} else { f(); }") == [(0, 2, "Normal"), (2, 3, "True"), (2, 4, "False"), (4, 3, "Normal"), (3, 1, "Normal")]
+    assert edges("if a { return; } g();") == [(0, 2, "Normal"), (2, 4, "True"), (4, 1, "Normal"), (2, 3, "False"), (3, 5, "Normal"), (5, 1, "Normal")]
+    assert edges("loop { break; }") == [(0, 2, "Normal"), (2, 4, "Normal"), (4, 3, "Break"), (3, 1, "Normal")]
+    assert edges("for i in x { continue; }") == [(0, 2, "Normal"), (2, 4, "Normal"), (4, 2, "Continue"), (2, 3, "Break"), (3, 1, "Normal")]
+    assert (6, 3, "Break") in edges("'a: loop { loop { break 'a; } }")
+    assert edges("return; f();")[1:] == [(2, 1, "Normal"), (3, 1, "Normal")]  # f() has no way in
+
+
 def test_functions_and_ids():
     f = rust.facts_of(b"fn third() {} mod m { pub(crate) async fn first(&self, a: Vec<Vec<u8>>) -> u8 { 1 } } impl<T> X<T> { fn second(mut x: T) where T: A { fn inner() {} } }")
     assert sorted({n["function_id"] for n in f["cfg_nodes"]}) == [0, 1, 2]
@@ -171,6 +185,16 @@ def test_fusion_order_and_flow(spark):
     label = {i: (k, x) for i, k, x in n}
     assert len(calls) == 1 and label[calls[0]["src"]][0] == "CfgNode" and label[calls[0]["dst"]][0] == "Function"
     g.checked()
+    more = extension_edges(f, g, (values, flows), points_to.analyze(g.nodes.filter("kind = 'DfgValue'").select(F.col("id").alias("value")), g.edges.filter("kind = 'DataFlow'")).facts)
+    rows = more.orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(g.edges.count(), g.edges.count() + len(rows)))
+    assert {k: sum(r["kind"] == k for r in rows) for k in ("Defines", "Calls", "PointsTo")} == {"Defines": 3, "Calls": 1, "PointsTo": 2}
+    s = SemanticEpoch(f, values, flows, 4)
+    assert tuple(s.stats().first())[:4] == (4, 2, 3, 2)
+    assert [r["file_id"] for r in s.file_ids().orderBy("file_id").collect()] == [f"{i:016x}" for i in range(2)]
+    assert s.of_file("symbols", f"{1:016x}").count() == 1
+    hit, flow = s.invalidate(spark.createDataFrame([(f"{0:016x}", 9, 12)], "file_id string, start long, end long"))
+    assert {(r["function_id"], r["node_id"]) for r in hit.collect()} == {(0, 0), (0, 1), (0, 2)} and flow.count() == 1
     full = fuse(f, with_ast=True).checked()
     assert full.nodes.filter("kind = 'AstNode'").count() == f.ast.count()
     assert full.edges.filter("kind = 'AstParent'").count() == f.ast.count() - 2

@@ -43,6 +43,7 @@ class AnalysisConfig:
     max_rounds: int = 100
     max_hops: int = 100
     opaque_else: bool = False
+    precise_cfg: bool = False
     linked: bool = True
 
 

@@ -13,13 +13,14 @@ from weftgraph.config import Config
 from weftgraph.functions.durable import durable
 from weftgraph.functions.hashing import graph_hash
 from weftgraph.functions.metrics import MetricsCollector
-from weftgraph.model import PropertyGraph
+from weftgraph.model import InvariantError, PropertyGraph
 from weftgraph.operators import points_to, taint
 from weftgraph.operators.changes import detect_changes, reparse_set
 from weftgraph.operators.fusion import fuse
 from weftgraph.operators.indices import Indices
 from weftgraph.operators.paths import explain
 from weftgraph.operators.primitives import graph_stats
+from weftgraph.operators.semantic import SemanticEpoch
 from weftgraph.plans.cost import PlanCache
 from weftgraph.plans.json_query import compile_query
 from weftgraph.sources import rust, snapshot
@@ -62,14 +63,17 @@ class Engine:
         changes = durable(detect_changes(epoch.files, contents.select("file_id", "content_hash")))
         return self._build(contents, epoch), changes
 
+    def _parse(self, files: DataFrame) -> rust.Facts:
+        return rust.analyze(files, self.config.analysis.opaque_else, self.config.analysis.precise_cfg)
+
     def _build(self, contents: DataFrame, before: Epoch | None) -> Epoch:
         files = durable(contents.drop("content"))
         todo = contents.select("file_id", "content")
         if before is None or before.facts is None:
-            facts = rust.analyze(todo, self.config.analysis.opaque_else)
+            facts = self._parse(todo)
         else:
             fresh = durable(reparse_set(before.files, files))
-            new = rust.analyze(todo.join(fresh, "file_id", "left_semi"), self.config.analysis.opaque_else)
+            new = self._parse(todo.join(fresh, "file_id", "left_semi"))
             keep = files.select("file_id").join(fresh, "file_id", "left_anti")
             both = lambda t: getattr(before.facts, t).join(keep, "file_id", "left_semi").unionByName(getattr(new, t))
             facts = rust.Facts(files.select("file_id"), *(both(t) for t in rust.TABLES))
@@ -117,6 +121,12 @@ class Engine:
     def stats(self, epoch: Epoch) -> DataFrame:
         return graph_stats(epoch.graph.nodes)
 
+    def semantic(self, epoch: Epoch) -> SemanticEpoch:
+        """The tables behind the graph: control flow, data flow, symbols, and what a change invalidates."""
+        if epoch.facts is None:
+            raise InvariantError("a loaded snapshot has no syntax tables")
+        return SemanticEpoch.build(epoch.facts, epoch.epoch_id)
+
     # snapshots
     def snapshot_save(self, epoch: Epoch, root: str | None = None) -> tuple[int, str]:
         return snapshot.save(epoch.graph, root or self.config.snapshot.path)

@@ -115,3 +115,20 @@ def _by_symbol():
     return W.partitionBy("file_id").orderBy("symbol_id")
 
 
+
+
+def extension_edges(facts: Facts, graph: PropertyGraph, dfg: tuple[DataFrame, DataFrame], pts: DataFrame | None = None) -> DataFrame:
+    """(id, kind, kind_code, src, dst): Defines, Calls and PointsTo edges, numbered on from the graph's own.
+
+    Defines: CFG node to the value of its statement (same function and range). Calls: see ``call_edges``.
+    PointsTo: ``pts(value, target)`` of a points-to analysis, without a value's own place.
+    """
+    cfg = graph.nodes.filter("kind = 'CfgNode' AND label = 'Statement'").select("origin.file_id", "origin.function_id", "range_start", "range_end", F.col("id").alias("src"))
+    val = graph.nodes.filter("kind = 'DfgValue' AND range_end > 0").select("origin.file_id", "origin.function_id", "range_start", "range_end", F.col("id").alias("dst"))
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "src", "dst")
+    found = named(cfg.join(val, [*KEYS, "range_start", "range_end"]), "Defines").unionByName(named(call_edges(facts, graph), "Calls"))
+    if pts is not None:
+        found = found.unionByName(named(pts.filter("value <> target").select(F.col("value").alias("src"), F.col("target").alias("dst")), "PointsTo"))
+    start = graph.edges.count()
+    coded = found.withColumns({"kind_code": code_of(F.col("kind"), EDGE_KINDS), "_range": F.floor(F.col("src") / 4096)})
+    return dense_ids(coded, ["kind_code", "_range"], ["src", "dst"], "id", start).select("id", "kind", "kind_code", "src", "dst")

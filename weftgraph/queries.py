@@ -14,6 +14,7 @@ from weftgraph.functions.ordering import dense_ids, joined_list
 from weftgraph.model import EDGE_KINDS, NODE_KINDS, PropertyGraph, code_of
 from weftgraph.operators import changes, dataflow, fkgraph, fusion, indices, paths, points_to, taint
 from weftgraph.operators import primitives as P
+from weftgraph.operators.semantic import SemanticEpoch
 from weftgraph.operators.fkgraph import BASE, fk_edges, fk_graph, fk_links, fk_nodes, node_id, read
 from weftgraph.plans.cost import cost
 from weftgraph.plans.tasks import ExecutionPlan, Filter, FindNodes, FollowEdges, Stage, Task
@@ -488,3 +489,11 @@ def fused_graph_stats(spark, sf_dir):
     return P.graph_stats(graph.nodes)
 
 
+
+
+@query("""WITH t AS (SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS lets, count(*) FILTER (WHERE turn % 2 = 1) AS ifs FROM conversations GROUP BY conv_id)
+SELECT CAST(3 AS BIGINT) AS epoch_id, count(*) AS files, count(*) AS cfgs, count(*) AS dfgs, CAST(sum(1 + lets + 2 * ifs) AS BIGINT) AS tracked_ranges FROM t""")
+def semantic_stats(spark, sf_dir):
+    """Source text through parser and data flow: sizes of the semantic epoch."""
+    facts = rust.analyze(_sources(spark, sf_dir).select("file_id", "content"))
+    return SemanticEpoch.build(facts, 3).stats().drop("tracked_nodes")

@@ -63,6 +63,7 @@ class Node:
     end: int
     children: list[Node] = field(default_factory=list)
     field: str | None = None
+    label: bytes | None = None
 
     def named(self, name: str) -> Node | None:
         return next((c for c in self.children if c.field == name), None)
@@ -399,8 +400,10 @@ class Parser:
         """An expression that ends with a block, if one begins here."""
         t, nxt = self.peek(), self.peek(1)
         if self.toks[self.at].kind == "life" and nxt == b":" and self.peek(2) in (*LOOPS, b"{"):
-            self.take(), self.take()
-            return self.block_like()
+            label, _ = self.take().text, self.take()
+            inner = self.block_like()
+            inner.label = label
+            return inner
         if t == b"if":
             return self.if_()
         if t in LOOPS and not (t == b"for" and nxt == b"<"):
@@ -554,55 +557,74 @@ def _functions(node: Node) -> Iterator[Node]:
 
 @dataclass
 class CfgBuilder:
-    """CFGs of a file; node ids go on from function to function."""
+    """CFGs of a file; node ids go on from function to function.
+
+    ``opaque_else``: an else branch is one statement. ``precise``: ``for`` is a loop, ``return``, ``break`` and
+    ``continue`` (with labels) redirect the flow, edges into the branches of an ``if`` are True and False, and
+    what cannot be reached has no incoming edge.
+    """
 
     src: bytes
     opaque_else: bool = False
+    precise: bool = False
     nodes: list[dict] = field(default_factory=list)
     edges: list[dict] = field(default_factory=list)
     count: int = 0
     function: int = 0
     seq: int = 0
+    leave: int = 0
+    loops: list[tuple[bytes | None, int, int]] = field(default_factory=list)
+    into: tuple[int, str] | None = None  # the next edge from this node is of this kind
 
     def new(self, kind: str, at: Node, text: str) -> int:
         self.nodes.append({"function_id": self.function, "node_id": self.count, "kind": kind, "range_start": at.start, "range_end": at.end, "statement": text})
         self.count += 1
         return self.count - 1
 
-    def link(self, src: int, dst: int, kind: str = "Normal") -> None:
+    def link(self, src: int | None, dst: int, kind: str = "Normal") -> None:
+        if src is None:
+            return
+        if self.into and self.into[0] == src:
+            kind, self.into = self.into[1], None
         self.edges.append({"function_id": self.function, "seq": self.seq, "src": src, "dst": dst, "kind": kind})
         self.seq += 1
 
     def build(self, root: Node) -> CfgBuilder:
         for k, f in enumerate(_functions(root)):
-            self.function, self.seq = k, 0
-            entry, leave = self.new("Entry", f, "<entry>"), self.new("Exit", f, "<exit>")
-            self.link(self.walk(f.named("body"), entry), leave)
+            self.function, self.seq, self.loops = k, 0, []
+            entry, self.leave = self.new("Entry", f, "<entry>"), self.new("Exit", f, "<exit>")
+            self.link(self.walk(f.named("body"), entry), self.leave)
         return self
 
-    def walk(self, node: Node, before: int) -> int:
+    def walk(self, node: Node, before: int | None, kind: str | None = None) -> int | None:
+        """The last node of a block, null if the flow does not come out of it."""
+        self.into = (before, kind) if kind and self.precise and before is not None else None
         if node.kind == "else_clause" and not self.opaque_else:
-            return self.walk(node.children[1], before)
+            node = node.children[1]
         for stmt in node.children if node.kind == "block" else [node]:
             if stmt.kind not in ("{", "}", "(", ")", ",", ";"):
                 before = self.step(stmt, before)
         return before
 
-    def step(self, stmt: Node, before: int) -> int:
+    def step(self, stmt: Node, before: int | None) -> int | None:
         real = stmt.children[0] if stmt.kind == "expression_statement" else stmt
         if real.kind == "if_expression":
             branch, merge = self.fork("Branch", real, before, shown(self.src, real, 50))
-            self.link(self.walk(real.named("consequence"), branch), merge)
+            self.link(self.walk(real.named("consequence"), branch, "True"), merge)
             other = real.named("alternative")
             if other is None:
+                self.into = None
                 self.link(branch, merge, "False")
             else:
-                self.link(self.walk(other, branch), merge)
+                self.link(self.walk(other, branch, "False"), merge)
+            self.into = None
             return merge
-        if real.kind in ("while_expression", "loop_expression"):
+        if real.kind in ("while_expression", "loop_expression") or (self.precise and real.kind == "for_expression"):
             head, merge = self.fork("LoopHeader", real, before, shown(self.src, real, 50))
+            self.loops.append((real.label, head, merge))
             self.link(self.walk(real.named("body"), head), head, "Continue")
-            if real.kind == "while_expression":
+            self.loops.pop()
+            if real.kind != "loop_expression":
                 self.link(head, merge, "Break")
             return merge
         if real.kind == "match_expression":
@@ -613,9 +635,21 @@ class CfgBuilder:
             return merge
         here = self.new("Statement", stmt, shown(self.src, stmt))
         self.link(before, here)
+        if self.precise and real.kind in JUMPS.values():
+            return self.jump(real, here)
         return here
 
-    def fork(self, kind: str, at: Node, before: int, text: str) -> tuple[int, int]:
+    def jump(self, node: Node, here: int) -> None:
+        label = re.match(rb"\w+\s+('\w+)", self.src[node.start : node.end])
+        around = [x for x in reversed(self.loops) if not label or x[0] == label.group(1)]
+        if node.kind == "return_expression" or not around:
+            self.link(here, self.leave)
+        elif node.kind == "break_expression":
+            self.link(here, around[0][2], "Break")
+        else:
+            self.link(here, around[0][1], "Continue")
+
+    def fork(self, kind: str, at: Node, before: int | None, text: str) -> tuple[int, int]:
         head = self.new(kind, at, text)
         self.link(before, head)
         return head, self.new("Merge", at, "<merge>")
@@ -672,9 +706,9 @@ def tree_rows(root: Node) -> list[dict]:
 TABLES = ("ast", "cfg_nodes", "cfg_edges", "scopes", "symbols")
 
 
-def facts_of(src: bytes, opaque_else: bool = False) -> dict[str, list[dict]]:
+def facts_of(src: bytes, opaque_else: bool = False, precise: bool = False) -> dict[str, list[dict]]:
     root = parse(src)
-    cfg, sym = CfgBuilder(src, opaque_else).build(root), SymbolBuilder(src).build(root)
+    cfg, sym = CfgBuilder(src, opaque_else, precise).build(root), SymbolBuilder(src).build(root)
     return {"ast": tree_rows(root), "cfg_nodes": cfg.nodes, "cfg_edges": cfg.edges, "scopes": sym.scopes, "symbols": sym.symbols}
 
 
@@ -690,7 +724,7 @@ class Facts:
     symbols: DataFrame
 
 
-def analyze(files: DataFrame, opaque_else: bool = False) -> Facts:
+def analyze(files: DataFrame, opaque_else: bool = False, precise: bool = False) -> Facts:
     """Facts of ``files(file_id, content BINARY)``. Files are parsed once; tables are views of the result."""
     inner = {t: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in SCHEMAS[t].fields if f.name != "file_id") for t in TABLES}
     schema = "file_id string, " + ", ".join(f"{t} array<struct<{inner[t]}>>" for t in TABLES)
@@ -698,7 +732,7 @@ def analyze(files: DataFrame, opaque_else: bool = False) -> Facts:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for fid, content in zip(b["file_id"], b["content"]):
-                yield pd.DataFrame([{"file_id": fid, **facts_of(bytes(content) if content is not None else b"", opaque_else)}])
+                yield pd.DataFrame([{"file_id": fid, **facts_of(bytes(content) if content is not None else b"", opaque_else, precise)}])
 
     parsed = durable(files.select("file_id", "content").mapInPandas(run, schema))
     view = lambda t: parsed.select("file_id", F.explode(t).alias("_x")).select("file_id", "_x.*").select(*SCHEMAS[t].names)
