@@ -11,6 +11,7 @@ from weftgraph.functions.metrics import MetricsCollector, large_time_stats, late
 from weftgraph.functions.ordering import dense_ids
 from weftgraph.model import InvariantError, PropertyGraph
 from weftgraph.operators import primitives as P
+from weftgraph.operators.hops import Hops
 from weftgraph.operators.indices import Indices
 
 NODE, EDGE = "id long, kind string, range_start long, range_end long", "id long, kind string, src long, dst long"
@@ -147,3 +148,15 @@ def test_metrics(spark):
 
 def test_sha_agrees_with_hashlib(spark):
     assert spark.range(1).select(H.file_id(F.lit("src/main.rs"))).first()[0] == hashlib.sha256(b"src/main.rs").hexdigest()[:16] == "42cb6807ad74b3e2"
+
+
+def test_hubs(spark):
+    """A node with most of the edges is kept apart; both parts together answer as the plain join does."""
+    pairs = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 10)] + [(41, 42)]
+    h = Hops(spark.createDataFrame(pairs, "src long, dst long"), least=10)
+    assert h.heavy is not None and {r["src"] for r in h.heavy.collect()} == {0} and h.light.count() == 10
+    level = spark.createDataFrame([(0,), (3,)], "id long")
+    assert sorted(r["dst"] for r in h.step(level, "id").collect()) == sorted(d for s, d in pairs if s in (0, 3))
+    assert Hops(spark.createDataFrame(pairs, "src long, dst long")).heavy is None
+    plan = h.light.join(level, h.light["src"] == level["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1

@@ -27,6 +27,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_by(df: DataFrame, *cols: str) -> DataFrame:
+    """``durable``, dealt and sorted by ``cols``: later joins on them move only their other side.
+
+    A plan that adapts does not say how its result is dealt, so this one is made without adaptation.
+    """
+    conf = df.sparkSession.conf
+    dealt = df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *cols).sortWithinPartitions(*cols)
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return durable(dealt)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 class Scratch:
     """Parquet tables in the shared folder, for data that later steps read by column or partition.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.functions.durable import durable
+from weftgraph.functions.durable import durable, durable_by
 
 
 def defined_name(statement: Column, raw: bool = False) -> Column:
@@ -39,7 +39,7 @@ def reaching_definitions(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
     itself stops them.
     """
     gen = durable(nodes.filter(F.col("var").isNotNull()).select(*keys, "node_id", "var", "def_id"))
-    hop = edges.select(*keys, "src", "dst").distinct()
+    hop = durable_by(edges.select(*keys, "src", "dst").distinct(), *keys, "src")
     cols = [*keys, "node_id", "var", "def_id"]
     out, seen = gen, None
     for _ in range(max_rounds):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.durable import durable
+from weftgraph.operators.hops import Hops
 
 MAX_SET, MAX_ROUNDS = 100, 100
 
@@ -55,7 +56,7 @@ def analyze(values: DataFrame, edges: DataFrame, seed: str = "self", facts: Data
     spark = values.sparkSession
     values = durable(values.select("value").distinct())
     flow = edges.select("src", "dst").distinct()
-    flow = durable(flow.join(values.select(F.col("value").alias("src")), "src", "left_semi").join(values.select(F.col("value").alias("dst")), "dst", "left_semi").select("src", "dst"))
+    flow = Hops(flow.join(values.select(F.col("value").alias("src")), "src", "left_semi").join(values.select(F.col("value").alias("dst")), "dst", "left_semi").select("src", "dst"))
     start = values.select("value", F.col("value").alias("target")).filter(F.lit(seed == "self"))
     if facts is not None:
         start = start.union(facts.select("value", "target").join(values, "value", "left_semi")).distinct()
@@ -63,7 +64,7 @@ def analyze(values: DataFrame, edges: DataFrame, seed: str = "self", facts: Data
     unknown = spark.createDataFrame([], "value long")
     complete, rounds = True, 0
     while True:
-        grown = delta.join(flow, delta["value"] == flow["src"]).select(F.col("dst").alias("value"), "target").distinct()
+        grown = flow.step(delta, "value").select(F.col("dst").alias("value"), "target").distinct()
         new = durable(grown.join(unknown, "value", "left_anti").join(pts, ["value", "target"], "left_anti"))
         if new.isEmpty():
             break
@@ -85,10 +86,10 @@ def analyze(values: DataFrame, edges: DataFrame, seed: str = "self", facts: Data
     return PointsTo(values, pts, unknown, complete)
 
 
-def _closure(start: DataFrame, flow: DataFrame) -> DataFrame:
+def _closure(start: DataFrame, flow: Hops) -> DataFrame:
     seen = level = start
     while True:
-        step = level.join(flow, level["value"] == flow["src"]).select(F.col("dst").alias("value")).distinct()
+        step = flow.step(level, "value").select(F.col("dst").alias("value")).distinct()
         level = durable(step.join(seen, "value", "left_anti"))
         if level.isEmpty():
             return durable(seen)

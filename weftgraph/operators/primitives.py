@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.durable import durable
 from weftgraph.model import NODE_KINDS
+from weftgraph.operators.hops import Hops
 
 #: Most hops that a reachability query takes, whatever it asks for.
 MAX_HOPS = 100
@@ -45,14 +46,14 @@ def reachable_within(edges: DataFrame, starts: DataFrame, hops: int, keys: tuple
     """(*keys, id, depth): breadth-first over edges of all kinds, at most ``min(hops, 100)`` deep.
 
     ``starts(*keys, id)`` are depth 0 even if the graph lacks them. With keys, each key searches alone.
-    Each level is one join on ``src`` and one anti-join with what was seen, checkpointed to the shared
-    folder; the loop ends with the first empty frontier.
+    Edges are dealt by ``src`` once; each level moves only its frontier: one join and one anti-join with
+    what was seen, checkpointed to the shared folder. The loop ends with the first empty frontier.
     """
     cols = [*keys, "id"]
     level = durable(starts.select(*cols).distinct().withColumn("depth", F.lit(0)))
-    seen, hop = level, edges.select("src", "dst")
+    seen, hops_of = level, Hops(edges.select("src", "dst"))
     for depth in range(1, min(hops, MAX_HOPS) + 1):
-        step = level.join(hop, level["id"] == hop["src"]).select(*keys, F.col("dst").alias("id")).distinct()
+        step = hops_of.step(level, "id").select(*keys, F.col("dst").alias("id")).distinct()
         level = durable(step.join(seen, cols, "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break

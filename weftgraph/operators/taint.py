@@ -44,7 +44,7 @@ def analyze(edges: DataFrame, sources: DataFrame, sinks: DataFrame, edge_kinds:
     Edge ids give the order among equal paths. A source that is a sink has a path of one node. Paths
     come with source_kind and sink_kind; their order is (source, depth, edge_path).
     """
-    flow = durable(edges.filter(F.col("kind").isin(*edge_kinds)).select("id", "src", "dst"))
+    flow = edges.filter(F.col("kind").isin(*edge_kinds)).select("id", "src", "dst")
     found = durable(shortest_paths(flow, sources.select("source", "node"), max_depth - 1))
     ends = sinks.select(F.col("kind").alias("sink_kind"), F.col("node").alias("sink_id"))
     named = sources.select("source", F.col("kind").alias("source_kind"), F.col("node").alias("source_id"))
