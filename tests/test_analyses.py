@@ -27,7 +27,7 @@ def sinks(spark, *nodes):
 
 
 def fifo(pairs, start, ends, limit=50):
-    """The reference semantics in plain Python: paths by first-in-first-out search."""
+    """The expected semantics in plain Python: paths by first-in-first-out search."""
     out, seen, queue = [], {start}, [(start, [start])]
     for node, path in queue:
         if len(path) - 1 >= limit:
