@@ -6,8 +6,10 @@ share. Only where that setting is absent (tests, a laptop) is a local folder use
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,18 @@ def durable_by(df: DataFrame, *cols: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """What is computed within hands Python at most ``rows`` rows at a time: whole texts, little memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Parquet tables in the shared folder, for data that later steps read by column or partition.
 
