@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,3 +64,9 @@ def running_total(df: DataFrame, groups: Sequence[str], bucket: str, order: Sequ
 def bounded_broadcast(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows; beyond that the plain, shuffled join."""
     return F.broadcast(df) if len(df.select(F.lit(1)).limit(max_rows + 1).collect()) <= max_rows else df
+
+
+def values_of(column: pa.Array, step: int = 64) -> Iterator:
+    """Python values of an Arrow column, few at a time: a batch of long texts is never held twice."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
