@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import shuffle_key
+from weftgraph.llm.common import shuffle_key, values_of
 
 BITS = 18
 #: Most labelled documents that are fitted on, and most features taken from one of them.
@@ -48,7 +48,7 @@ class Features:
             if len(core) > 1 and core.isupper():
                 names.append(b"upper")
             found = tuple(xxhash.xxh64_intdigest(x) & self.mask for x in names)
-            if len(self.memo) < 1_000_000:
+            if len(self.memo) < 200_000:
                 self.memo[word] = found
         return found
 
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            found = [tuple(x[:MAX_FEATURES] for x in make(t)) for t in b.column(3).to_pylist()]
+            found = [tuple(x[:MAX_FEATURES] for x in make(t)) for t in values_of(b.column(3))]
             pack = lambda k, t: pa.array([f[k].astype(t).tobytes() for f in found], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pack(0, np.int32), pack(1, np.float32)], names=["i", "q", "t", "idx", "val"])
 
@@ -158,7 +158,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, fitted = Features(), model.value
         for b in batches:
-            tails = np.array([fitted.grades(*make(t)) for t in b.column(1).to_pylist()]).reshape(-1, GRADES - 1)
+            tails = np.array([fitted.grades(*make(t)) for t in values_of(b.column(1))]).reshape(-1, GRADES - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (tails.sum(1), tails[:, 0], tails[:, 1], tails[:, 1] >= 0.5))], names=["doc_id", "e", "p1", "p2", "k"])
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftgraph.functions.durable import durable
-from weftgraph.llm.common import bounded_broadcast
+from weftgraph.functions.durable import durable, small_batches
+from weftgraph.llm.common import bounded_broadcast, values_of
 from weftgraph.llm.components import components
 
 BLOCK = 256
-STEP = 65536
+STEP = 8192
 SEED = 42
 
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str, text: str, shingle: int, words: i
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, shingle, words) for x in b.column(1).to_pylist()], np.uint64).reshape(-1, words)
+            fps = np.array([fingerprint(x, shingle, words) for x in values_of(b.column(1))], np.uint64).reshape(-1, words)
             flat = pa.array(fps.view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, words), pa.int32()), flat)], names=["_wg_id", "_wg_words"])
 
@@ -200,7 +200,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     screen = total if words == 1 else min(64, math.ceil(total / words + 2.2 * math.sqrt(total / words * (1 - total / 64 / words))))
     rows = fingerprints(docs, id_col, text, shingle, words)
     key = F.col("_wg_words")[0] if words == 1 else F.xxhash64("_wg_words")
-    rows = durable(rows.withColumn("_wg_key", key))
+    with small_batches(docs.sparkSession):
+        rows = durable(rows.withColumn("_wg_key", key))
     nodes = durable(rows.groupBy("_wg_key").agg(F.min("_wg_id").alias("_wg_first"), F.min("_wg_words").alias("_wg_words")))
     if nodes.isEmpty():
         return rows.select("_wg_id", "_wg_words", F.lit(None).cast("long").alias("_wg_component"))

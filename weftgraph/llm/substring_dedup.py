@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions.durable import durable
-from weftgraph.llm.common import bounded_broadcast, text_of
+from weftgraph.llm.common import bounded_broadcast, text_of, values_of
 
 #: A sentence with the white space after it.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?![ \t\n\r\f\v])[^.!?\n]*)*(?:[.!?]|\n|\Z)[ \t\n\r\f\v]*")
@@ -62,7 +62,7 @@ def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WO
 def _span_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for i, row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), values_of(b.column(2))):
                 found = spans(t)
                 for at in range(0, len(found), 50_000):
                     part = found[at : at + 50_000]
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, total, gone, words, ranges = [], [], [], [], []
-            for t, marks in zip(b.column(at).to_pylist(), b.column(n).to_pylist()):
+            for t, marks in zip(values_of(b.column(at)), values_of(b.column(n))):
                 parts = sentences(t or "")
                 drop = {k for m in marks or () for k in range(m["at"], m["at"] + m["n"])}
                 merged: list[list[int]] = []
