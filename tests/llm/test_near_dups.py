@@ -111,3 +111,49 @@ def test_similarity(spark, none):
     docs = spark.createDataFrame(rows([(i, " ".join(t), "s") for i, t in enumerate(texts)]), none.schema)
     assert table(S.keep_one(docs), "doc_id") == [(i,) for i in sorted(range(0, 24, 2), key=lambda x: repr((x,)))]
     assert S.similarity_radius(0.8, 256) == 39 and S.similarity_radius(1.0, 256) == 0
+
+
+def planted(rng, name, shingles, changes):
+    """Two texts of unlike words whose sets of five-word shingles share all but 5 * changes each."""
+    w = [f"{name}n{i}x{rng.randrange(10**6)}" for i in range(shingles + 4)]
+    near = list(w)
+    for k in range(changes):
+        near[5 + k * (shingles // changes)] = f"{name}changed{k}"
+    return [" ".join(w), " ".join(near)]
+
+
+def test_similarity_border(spark, none):
+    """Pairs at a Jaccard similarity of 0.80 to 0.85 meet, all of them; pairs at 0.70 to 0.79 stay apart."""
+    rng = random.Random(3)
+    near = [t for k in range(60) for t in planted(rng, f"a{k}", *((180, 4), (190, 4), (330, 6))[k % 3])]  # 0.80, 0.81, 0.83
+    far = [t for k in range(60) for t in planted(rng, f"b{k}", *((175, 4), (160, 4), (120, 4))[k % 3])]  # 0.79, 0.78, 0.71
+    docs = spark.createDataFrame(rows([(i, t, "s") for i, t in enumerate(near + far)]), none.schema)
+    got = {r["_wg_id"]: r["_wg_component"] for r in S.near_groups(docs).collect()}
+    assert [i for i in range(0, 120, 2) if got[i + 1] != i] == [] and all(got[i] == i for i in range(120, 240))
+
+
+def test_repeated_shingles(spark, none):
+    """Similarity is one of sets: how often a shingle repeats does not count."""
+    own = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame(rows([(1, own, "s"), (2, own + " " + " ".join(["w0 w1 w2 w3 w4 w5"] * 60), "s")]), none.schema)
+    sets = [set(S.shingle_hashes(r["text"], 5).tolist()) for r in docs.collect()]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and S.keep_one(docs).count() == 1
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 300])
+def test_similarity_brute(spark, none, chunk, monkeypatch):
+    """Chains of ever more changed texts, in one chunk and in many: the classes of all pairs."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    monkeypatch.setattr(S, "CHUNK_FACTOR", 1)
+    rng, texts = random.Random(4), []
+    for k in range(4):
+        w = [f"c{k}w{i}" for i in range(150)]
+        for step in range(12):
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(150)] = f"c{k}s{step}r{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: 150 - 2 * (step % 3)]))
+    docs = spark.createDataFrame(rows([(i, t, "s") for i, t in enumerate(texts)]), none.schema)
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = brute.groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert 4 < len(set(want)) < 48
+    assert sorted((r["_wg_id"], r["_wg_component"]) for r in S.near_groups(docs, tile_factor=1).collect()) == list(enumerate(want))
