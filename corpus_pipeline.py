@@ -6,7 +6,8 @@ of ``documents``.
 
 1. Quality rules: documents that the rules reject go.
 2. Line dedup: repeated lines leave the texts (``n_chars`` follows).
-3. SimHash near-dedup: five-word shingles, similarity 0.8; one document of each group stays.
+3. SimHash near-dedup: five-word shingles, similarity 0.8; one document of each group stays, whether ids
+   are null or repeated.
 4. Mixing: each document as often as the mix takes it.
 5. Best-fit packing: a row per piece with its bin and offset.
 """
@@ -35,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, unique_ids=False)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,3 +157,16 @@ def test_similarity_brute(spark, none, chunk, monkeypatch):
     want = brute.groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     assert 4 < len(set(want)) < 48
     assert sorted((r["_wg_id"], r["_wg_component"]) for r in S.near_groups(docs, tile_factor=1).collect()) == list(enumerate(want))
+
+
+def test_keep_one_ids(spark, none):
+    """One row a group, whatever the ids: null, repeated, or those of a near copy and of another text."""
+    text = lambda k: " ".join(f"k{k}w{i}" for i in range(120))
+    near = lambda k: text(k) + " more"
+    pairs = [(None, text(1)), (None, text(2)), (None, text(2)), (None, near(3)), (5, text(3)), (None, text(4)), (6, text(5)), (6, text(6)), (5, text(7)), (7, text(8)), (8, near(8)), (8, text(9)), (None, near(9))]
+    docs = spark.createDataFrame(rows([(i, t, "s") for i, t in pairs]), none.schema)
+    left = lambda **o: table(S.keep_one(docs, **o), "doc_id", "text")
+    want = [(None, text(1)), (None, text(2)), (5, text(3)), (None, text(4)), (6, text(5)), (6, text(6)), (5, text(7)), (7, text(8)), (8, text(9))]
+    assert left(unique_ids=False) == sorted(want, key=repr)
+    one = left()
+    assert set(one) <= set(want) and [i for i, _ in one].count(None) == 3 and sorted(i for i, _ in one if i) == [5, 6, 7, 8]

@@ -366,15 +366,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     return rows.join(bounded_broadcast(named), "_wg_key").select("_wg_id", "_wg_words", "_wg_component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group left, that of the smallest id; its own columns only.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unique_ids: bool = True, shingle: int = 5, words: int = 4, similarity: float = 0.8, radius: int | None = None, tile_factor: int = 40) -> DataFrame:
+    """``docs`` with one row of each group left, that of the smallest id (nulls last), then text hash; its own columns only.
 
-    Of rows that repeat that id one stays, of groups without any id one row.
+    Ids may be null. With ``unique_ids``, of kept rows of several groups that share an id (not null) one stays;
+    without, ids may repeat as well and every group keeps its row.
     """
-    groups = near_groups(docs, id_col, text, **options)
-    chosen = durable(groups.filter(F.col("_wg_id").eqNullSafe(F.col("_wg_component"))).select(F.col("_wg_id").alias("_wg_kept")).distinct())
-    kept = docs.withColumn("_wg_id", F.col(id_col).cast("long")).join(chosen, F.col("_wg_id").eqNullSafe(F.col("_wg_kept")), "left_semi")
-    first = W.partitionBy("_wg_id").orderBy(F.xxhash64(text))
+    rows, named = _rooted(docs, id_col, text, shingle, words, similarity, radius, tile_factor)
+    place = F.struct(F.col("_wg_id").isNull().alias("none"), "_wg_id", "_wg_text")
+    chosen = rows.join(bounded_broadcast(named), "_wg_key").groupBy("_wg_root").agg(F.min(place).alias("kept"))
+    chosen = durable(chosen.select(F.col("kept._wg_id").alias("_wg_kept"), F.col("kept._wg_text").alias("_wg_kept_text")))
+    keyed = docs.withColumns({"_wg_id": F.col(id_col).cast("long"), "_wg_text": F.xxhash64(text_of(text))})
+    kept = keyed.join(chosen, F.col("_wg_id").eqNullSafe(F.col("_wg_kept")) & (F.col("_wg_text") == F.col("_wg_kept_text")), "left_semi")
+    # Rows that repeat id and text are one group's.
+    apart = F.when(F.col("_wg_id").isNull(), F.col("_wg_text")) if unique_ids else F.col("_wg_text")
+    first = W.partitionBy("_wg_id", apart).orderBy("_wg_text")
     return kept.withColumn("_wg_n", F.row_number().over(first)).filter("_wg_n = 1").select(*docs.columns)
 
 
