@@ -88,6 +88,15 @@ def test_rules(spark):
     assert lone["_wg_score"] == 0.0 and lone["_wg_verdict"] == "allow"
 
 
+def test_whole_url(spark):
+    """Query and fragment count, and so does a URL without a scheme."""
+    urls = [f"http://a.net/de/{i}?good=yes#fine{i}" for i in range(60)] + [f"http://a.com/en/{i}?casino=spam#win{i}" for i in range(60)]
+    asked = ["http://b.org/x?good=yes#fine", "http://b.org/x?casino=spam#win", "a.net/de/7?good=yes", "a.com/en/7?casino=spam"]
+    df = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    r = {r["page_id"]: (r["_wg_verdict"], r["_wg_rule"]) for r in url_filter.judge_urls(df).collect()}
+    assert [r[120 + i] for i in range(4)] == [("allow", None), ("block", None)] * 2
+
+
 def test_char_model():
     m = url_filter.CharModel([b"abab", b"abac"])
     for context in (b"", b"a", b"ab", b"zz", b"\x02ab"):
