@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,24 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator(docs, ...)`` for rows that may have columns named like internal ones.
+
+    Such a column passes through, unless the operator returns one of the same name: then that one stands.
+    """
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        clash = {c: f"_weft_in{i}" for i, c in enumerate(docs.columns) if c.lower().startswith("_wg_")}
+        if not clash:
+            return operator(docs, *args, **kwargs)
+        out = operator(docs.withColumnsRenamed(clash), *args, **kwargs)
+        lost = {c for c in clash if c.lower() in (x.lower() for x in out.columns)}
+        return out.drop(*(clash[c] for c in lost)).withColumnsRenamed({v: k for k, v in clash.items() if k not in lost})
+
+    return run
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -29,7 +48,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def strip_ascii(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    """Without ASCII white space at both ends; linear in the text, however long its inner blanks run."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def shuffle_key(row_id: Column) -> Column:
