@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.functions.durable import durable
-from weftgraph.llm.common import bounded_broadcast, count_words, key_bucket, running_total, shuffle_key, text_of
+from weftgraph.llm.common import bounded_broadcast, count_words, key_bucket, running_total, shielded, shuffle_key, text_of
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -51,7 +51,7 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) ->
 
 def _place(epoch: int) -> Column:
     """The copy's place in the queue: finish time, then source, epoch and key."""
-    time = (F.lit(epoch) * F.col("_wg_source_size") + F.col("_wg_cum")) / F.col("_wg_target")
+    time = F.try_divide((F.lit(epoch) * F.col("_wg_source_size") + F.col("_wg_cum")).cast("double"), F.col("_wg_target"))  # null: a source without words
     return F.struct(time.alias("t"), F.col("_wg_idx").alias("s"), F.lit(epoch).alias("e"), F.col("_wg_key").alias("k"), F.col("_wg_cum").alias("c"))
 
 
@@ -84,6 +84,7 @@ def _rows(docs: DataFrame, id_col: str, source: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_wg_id"), F.col(source).cast("string").alias("_wg_source"), count_words(text_of(text)).alias("_wg_size"), F.xxhash64(text_of(text)).alias("_wg_row"))
 
 
+@shielded
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it; its own columns only.
 
