@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftgraph.functions.durable import durable, small_batches
-from weftgraph.llm.common import bounded_broadcast, text_of, values_of
+from weftgraph.llm.common import bounded_broadcast, shielded, text_of, values_of
 from weftgraph.llm.components import components
 
 BLOCK = 256
@@ -366,6 +366,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     return rows.join(bounded_broadcast(named), "_wg_key").select("_wg_id", "_wg_words", "_wg_component")
 
 
+@shielded
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unique_ids: bool = True, shingle: int = 5, words: int = 4, similarity: float = 0.8, radius: int | None = None, tile_factor: int = 40) -> DataFrame:
     """``docs`` with one row of each group left, that of the smallest id (nulls last), then text hash; its own columns only.
 
