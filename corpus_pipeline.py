@@ -54,8 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    """All stages over ``documents``; what lies between them is written to the shared folder.
+
+    A stage's input goes as soon as its output is whole: beside the input at most two tables lie there at a time.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = scratch.store(stage(spark, docs, sf_dir))
+        written = Scratch(spark)
+        docs = written.store(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        before = written
     return docs

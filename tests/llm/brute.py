@@ -49,6 +49,12 @@ def fingerprint(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text, k):
+    """The set of runs of k words (A-Z folded); a shorter text is one, an empty one has none and equals only empty ones."""
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def groups(n, linked):
     """Smallest index of each item's component."""
     parent = list(range(n))

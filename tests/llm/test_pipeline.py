@@ -3,13 +3,13 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
 from tests.oracle import connect
 from weftgraph.llm.packing import CAPACITY
 from weftgraph.llm.queries import ORACLE_SQL
-from weftgraph.llm.simhash_dedup import fingerprint, similarity_radius
 
 
 @pytest.fixture(scope="module")
@@ -40,10 +40,8 @@ def test_lines(stages):
 
 def test_near(stages):
     d = sorted((r["doc_id"], r["text"]) for r in stages[2].collect())
-    fp = [fingerprint(t, 5, 4) for _, t in d]
-    far = similarity_radius(0.8, 256)
-    apart = lambda i, j: [(a ^ b).bit_count() for a, b in zip(fp[i], fp[j])]
-    comp = brute.groups(len(d), lambda i, j: sum(apart(i, j)) <= far and apart(i, j)[0] <= 17)
+    sets = [brute.shingles(t, 5) for _, t in d]
+    comp = brute.groups(len(d), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted({d[c][0] for c in comp})
 
 
@@ -72,3 +70,18 @@ def test_pack(stages):
 def test_run(spark, sf_dir, stages):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(stages[-1])
+
+
+def test_odd_tables(spark, odd, none, sf_dir, tmp_path):
+    """Null ids, empty texts, repeated rows, extra columns that clash with internal names; and no row at all."""
+    clash = odd.withColumns({"_wg_id": F.lit("x"), "_wg_size": F.lit(1), "_wg_kept": F.lit("y"), "_wg_row": F.lit(None).cast("string"), "_wg_text": F.lit(2)})
+    for start, empty in ((clash, False), (clash.limit(0), True)):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf_dir)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.dtypes == start.dtypes, name
+                out.write.parquet(str(tmp_path / f"{empty}{name}"))
+                docs = spark.read.parquet(str(tmp_path / f"{empty}{name}"))
+                assert {r["_wg_id"] for r in docs.collect()} <= {"x"}
+        assert (out.count() == 0) == empty
