@@ -54,6 +54,19 @@ def test_mix(odd, none):
     assert max(n.values()) <= 6 and n[4] != 1  # the repeated rows of 4 go together
 
 
+@pytest.mark.parametrize("texts", [[("a", None), ("a", ""), ("b", "one two three")], [("a", None)], [("a", ""), (None, " "), ("b", None)]])
+def test_sources_without_words(spark, tmp_path, texts):
+    """A source without words has the target 0: its rows are scheduled, and never taken."""
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(texts)], "doc_id long, source string, text string")
+    got = source_mixing.schedule(sized(docs))
+    want = brute.mixing([(r["_wg_id"], r["_wg_source"], r["_wg_size"]) for r in sized(docs).collect()])
+    assert table(got, "_wg_id", "_wg_source", "_wg_size", "_wg_copies") == sorted(want, key=repr)
+    assert [r["text"] for r in source_mixing.mix(docs).collect()] == [t for _, t in texts if brute.words(t)]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op2_source_mixing"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and all(r["taken"] == r["size"] for r in rows)
+
+
 # --- resharding
 
 
@@ -172,3 +185,24 @@ def test_pack(odd, none, some):
             assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0
     assert packing.pack(none).count() == 0
     assert table(packing.pack(some), "id", "piece", "bin", "offset") == table(packing.pack(some.repartition(5)), "id", "piece", "bin", "offset")
+
+
+def test_pack_query(spark, sf_dir):
+    """The registered query row by row: every document whole, and each piece in the tightest bin that was open to it."""
+    got = QUERIES["op10_best_fit_packing"](spark, sf_dir).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    have = Counter()
+    for x in got:
+        have[x["doc_id"]] += x["size"]
+    assert have == {i: len(brute.words(t)) for i, t in docs.items()}
+    capacity, room, groups = packing.CAPACITY, {}, defaultdict(set)
+    items = sorted((x for x in got if x["size"]), key=lambda x: x["doc_id"])
+    whole = sorted((x for x in items if x["size"] == capacity), key=lambda x: (x["doc_id"], x["piece"]))
+    for x in whole + sorted((x for x in items if x["size"] < capacity), key=lambda x: -x["size"]):
+        own = {("s", x["source"]), ("c", x["cluster"])}
+        fits = [room[b] for b in room if room[b] >= x["size"] and not own & groups[b]]
+        assert room[x["bin"]] == min(fits) and not own & groups[x["bin"]] if x["bin"] in room else not fits
+        room.setdefault(x["bin"], capacity)
+        assert x["offset"] == capacity - room[x["bin"]]
+        room[x["bin"]] -= x["size"]
+        groups[x["bin"]] |= own
