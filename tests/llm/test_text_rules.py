@@ -1,6 +1,10 @@
 """Quality rules, line dedup and sentence spans."""
 
 import hashlib
+import random
+import re
+import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.llm import brute
 from tests.llm.conftest import LONG, rows, table
 from tests.oracle import check, connect
-from weftgraph.llm import line_dedup, quality_rules, substring_dedup
+from weftgraph.llm import common, line_dedup, quality_rules, substring_dedup
 from weftgraph.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -39,6 +43,7 @@ def test_rules_filter(spark, none):
     assert quality_rules.keep_good(none).count() == 0
     plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+    assert kept._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == plan.count("regexp_extract_all") == 2  # metrics once, filtered or not
 
 
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (3, 4)])
@@ -72,61 +77,141 @@ def test_sorted_runs_compaction(spark):
     runs.drop()
 
 
+def test_sorted_runs_lie_in_order(spark):
+    """One file a bucket, also after compactions; no exchange and no sort above a run, in a batch's join or in a merge."""
+    runs = line_dedup.SortedRuns(spark, buckets=3, fanout=2)
+    key = lambda lo, hi: spark.range(lo, hi).select(F.xxhash64("id").alias("_wg_k1"), F.col("id").alias("_wg_k2"), F.col("id").alias("_wg_owner"))
+    for i in range(3):
+        runs.add(key(100 * i, 100 * i + 100))
+    names = [x for level in runs.levels for x in level]
+    assert len(names) == 2 and all(len(spark.table(x).inputFiles()) == 3 for x in names)
+    with runs.reading():
+        plan = runs.resolve(key(50, 320).groupBy("_wg_k1", "_wg_k2").agg(F.count("*")))._jdf.queryExecution().executedPlan().toString()
+        x, y = (spark.table(n) for n in names)
+        merge = x.join(y.hint("merge"), list(line_dedup.KEYS), "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("+- *") and plan.count(" Sort [") == 1
+    assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and " Sort [" not in merge
+    runs.drop()
+
+
+def test_long_blank_run(spark):
+    df = spark.createDataFrame([("\x0b a" + " " * 1_000_000 + "b \r",), ("\x1c x\u00a0",), ("",), (None,)], "t string").select(common.strip_ascii(F.col("t")).alias("t"))
+    began = time.time()
+    got = [r["t"] for r in df.collect()]
+    assert time.time() - began < 5 and got == ["a" + " " * 1_000_000 + "b", "\x1c x\u00a0", "", None]
+
+
 # --- sentence spans
 
 
 def test_sentences_cover_text():
-    for t in ("", "A b. C d! E\n\nF... g.h? x", LONG[:5000], ".", "\n", "a.b.c"):
+    for t in (b"", b"A b. C d! E\n\nF... g.h? x", LONG[:5000].encode(), b".", b"\n", "é. ü\u2003. b".encode()):
         s = substring_dedup.sentences(t)
-        assert "".join(t[a:b] for a, b in s) == t and all(a < b for a, b in s)
-    assert [t[a:b] for t in ["One. Two! three?\nFour"] for a, b in substring_dedup.sentences(t)] == ["One. ", "Two! ", "three?\n", "Four"]
+        assert b"".join(t[a:b] for a, b in s) == t and all(a < b for a, b in s)
+    assert [t[a:b] for t in [b"One. Two! three?\nFour"] for a, b in substring_dedup.sentences(t)] == [b"One. ", b"Two! ", b"three?\n", b"Four"]
+
+
+def brute_units(text):
+    """(text, words) of sentences, those of over 16 words cut after each word of a hash divisible by 6, three words on at least."""
+    out = []
+    for a, b in substring_dedup.sentences(text.encode()):
+        sentence = text.encode()[a:b].decode()
+        words = re.findall(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+[ \t\n\r\f\v]*", sentence)
+        low = [w.strip(" \t\n\r\f\v").translate(brute.LOWER) for w in words]
+        if len(words) <= 16:
+            out.append((sentence, low))
+            continue
+        held = 0
+        for k in range(1, len(words) + 1):
+            if k == len(words) or (k - held >= 3 and zlib.crc32(low[k - 1].encode()) % 6 == 0):
+                out.append(("".join(words[held:k]), low[held:k]))
+                held = k
+    return out
 
 
 def brute_spans(text):
-    """Fewest sentences from each start on that make two sentences and 16 words, or 50 words."""
-    s = [text[a:b].encode().lower().split() for a, b in substring_dedup.sentences(text)]
+    """Fewest units from each start on that make two units and 28 words, or 50 words."""
+    s = [low for _, low in brute_units(text)]
     out = []
     for i in range(len(s)):
         for j in range(i + 1, len(s) + 1):
             n = sum(map(len, s[i:j]))
-            if (j - i >= 2 and n >= 16) or n >= 50:
-                out.append((i, j - i, b" ".join(b" ".join(x) for x in s[i:j])))
+            if (j - i >= 2 and n >= 28) or n >= 50:
+                out.append((i, j - i, " ".join(w for x in s[i:j] for w in x).encode()))
                 break
     return out
 
 
+def test_units_cover_text():
+    texts = ["", "A b. C d! E", " \n" + " ".join(f"w{i}" for i in range(200)) + ".  End. x", LONG[:5000], "\t \n"]
+    for t in texts:
+        raw = t.encode()
+        u = substring_dedup.units(raw)
+        assert b"".join(raw[a:b] for a, b, _, _ in u) == raw
+        assert [(raw[a:b].decode(), w.decode().split()) for a, b, _, w in u] == brute_units(t) and all(n == len(w.split()) for _, _, n, w in u)
+    assert len(substring_dedup.units(texts[2].encode())) > 20
+
+
 def test_spans_brute(some):
     import xxhash
 
-    texts = [r["text"].replace("\n", ". ") for r in some.collect()] + ["x " * 60 + ". y.", "Aa. " * 40, ""]
+    texts = [r["text"].replace("\n", ". ") for r in some.collect()] + ["x " * 60 + ". y.", "Aa. " * 60, "", " ".join(f"w{i % 50}" for i in range(300))]
     for t in texts:
         want = [(i, n, xxhash.xxh3_128_digest(b)) for i, n, b in brute_spans(t)]
-        assert substring_dedup.spans(t) == want
+        got = substring_dedup.spans(t.encode())
+        assert [(i, n, h) for i, n, _, _, h in got] == want
+        cut = [x for x, _ in brute_units(t)]
+        assert [t.encode()[a:b].decode() for _, _, a, b, _ in got] == ["".join(cut[i : i + n]) for i, n, _ in want]
+        assert all(x[2] < y[2] and x[3] <= y[3] for x, y in zip(got, got[1:]))
 
 
 def brute_removal(docs):
-    """[(id, sentences removed, kept text)] with the first of equal spans kept."""
+    """[(id, units removed, kept text)] with the first of equal spans kept."""
     place = {}
     for i, t in sorted(docs):
         for at, n, b in brute_spans(t or ""):
             place.setdefault(b, (i, at))
     out = []
     for i, t in docs:
-        s = substring_dedup.sentences(t or "")
+        s = brute_units(t or "")
         gone = {k for at, n, b in brute_spans(t or "") if place[b] != (i, at) for k in range(at, at + n)}
-        out.append((i, len(gone), t if not gone else "".join(t[a:b] for k, (a, b) in enumerate(s) if k not in gone)))
+        out.append((i, len(gone), t if not gone else "".join(x for k, (x, _) in enumerate(s) if k not in gone), sum(len(s[k][1]) for k in gone)))
     return out
 
 
 def test_span_dedup(spark, some, odd, none):
-    docs = some.withColumn("text", F.replace("text", F.lit("\n"), F.lit(". ")))
+    docs = some.withColumn("text", F.repeat(F.replace("text", F.lit("\n"), F.lit(". ")), 3))
     got = substring_dedup.remove_repeats(docs)
     want = brute_removal([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert table(got, "doc_id", "_wg_n_removed", "text") == sorted(want, key=repr)
+    assert sum(x[1] > 0 for x in want) > 50
+    assert table(got, "doc_id", "_wg_n_removed", "text", "_wg_words_removed") == sorted(want, key=repr)
     assert got.columns[: len(docs.columns)] == docs.columns
     assert substring_dedup.remove_repeats(odd).count() == odd.count() and substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_span_query_brute(spark, sf_dir):
+    """The registered query row by row."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = [(i, n, hashlib.sha256((t or "").encode()).hexdigest(), words) for i, n, t, words in brute_removal(docs)]
+    assert table(QUERIES["op9_sentence_span_dedup"](spark, sf_dir), "doc_id", "n_removed", "kept_sha256", "n_words_removed") == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_passage_cut_anywhere(spark, none, marks):
+    """Passages of 60 words that begin and end within a sentence, in lines with and without end marks: most of each goes."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    prose = lambda n: " ".join(word() + (". " if marks and k % 14 == 13 else "") for k in range(n))
+    texts, gone = [], 0
+    for _ in range(60):
+        passage = prose(60)
+        texts += [f"{prose(33)} {passage} {prose(21)}", f"{prose(18)} {passage} {prose(40)}"]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows([(i, t, "s") for i, t in enumerate(texts)]), none.schema)).collect()}
+    assert all(got[i]["_wg_words_removed"] == 0 for i in range(0, 120, 2)) and all(got[i]["_wg_words_removed"] <= 60 for i in range(1, 120, 2))
+    gone = [got[i]["_wg_words_removed"] for i in range(1, 120, 2)]
+    assert sum(g >= 30 for g in gone) >= 57 and sum(gone) > 0.7 * 60 * 60
+
+
 def test_planted_passage(spark, none):
     own = lambda k: " ".join(f"Own{k}x{i} begins a sentence that nobody else has written here." for i in range(6))
     passage = " ".join(f"Shared{i} is a sentence of the passage that many pages carry." for i in range(6))
