@@ -2,8 +2,8 @@
 
 ``SortedRuns`` is a log-structured index: each batch of documents contributes one run (line hash ->
 smallest owner) as a bucketed, sorted table; runs of a level are merged into one of the next level once
-``fanout`` of them exist. A new batch is merge-anti-joined with the runs - only the batch is shuffled,
-the runs are read bucket by bucket - and the keys that no run has become the newest run.
+``fanout`` of them exist. A new batch is merge-anti-joined with the runs - only the batch is shuffled and
+sorted, the runs are read bucket by bucket in their order - and the keys that no run has become the newest run.
 
 Batches are taken in ascending id, so the owner that a run holds is the smallest id of all.
 
@@ -20,15 +20,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.durable import Scratch, durable
-from weftgraph.llm.common import ascii_lower, bounded_broadcast, strip_ascii, text_of, wide_hash
+from weftgraph.functions.durable import Scratch, durable, settings
+from weftgraph.llm.common import ascii_lower, bounded_broadcast, shielded, strip_ascii, text_of, wide_hash
 
 LAST_ID = 2**63 - 1
 KEYS = ("_wg_k1", "_wg_k2")
 
 
 class SortedRuns:
-    """Levels of runs; every run is a table bucketed and sorted by the 128-bit key, with its owner."""
+    """Levels of runs; every run is a table bucketed by the 128-bit key, one sorted file a bucket, with its owner.
+
+    Plans made within ``reading`` take a run as it lies: no exchange and no sort stands above its scan.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
@@ -38,21 +41,35 @@ class SortedRuns:
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
+    def reading(self):
+        """Settings for eager steps over runs: a bucket's one file is in order, plans keep their partitioning."""
+        return settings(self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering=True, spark__sql__adaptive__enabled=False, spark__sql__shuffle__partitions=self.buckets)
+
     def resolve(self, keys: DataFrame) -> DataFrame:
         """``keys`` with ``_wg_seen``: the owner in some run, null for a new key. Runs are disjoint."""
         for i, run in enumerate(self.runs()):
-            keys = keys.join(run.select(*KEYS, F.col("_wg_owner").alias(f"_wg_seen{i}")), list(KEYS), "left")
+            keys = keys.join(run.select(*KEYS, F.col("_wg_owner").alias(f"_wg_seen{i}")).hint("merge"), list(KEYS), "left")
         seen = [F.col(f"_wg_seen{i}") for i in range(len(self.runs()))]
         return keys.withColumn("_wg_seen", F.coalesce(*seen, F.lit(None).cast("long"))).drop(*(f"_wg_seen{i}" for i in range(len(seen))))
 
     def _write(self, df: DataFrame) -> str:
+        """A run of rows whose partitions are the buckets."""
         name = f"weft_run_{uuid.uuid4().hex}"
-        df.repartition(self.buckets, *KEYS).write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).saveAsTable(name)
+        df.write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).saveAsTable(name)
         return name
 
     def add(self, run: DataFrame) -> None:
         """A new run at level 0; a full level is compacted into the next."""
-        self._push(0, self._write(run))
+        with self.reading():
+            self._push(0, self._write(run.repartition(self.buckets, *KEYS)))
+
+    def _merge(self, a: str, b: str) -> str:
+        """Two disjoint runs as one: a merge join of their sorted buckets."""
+        x, y = (self.spark.table(n).withColumnRenamed("_wg_owner", f"_wg_owner{i}") for i, n in enumerate((a, b)))
+        both = x.join(y.hint("merge"), list(KEYS), "full_outer")
+        merged = self._write(both.select(*KEYS, F.coalesce("_wg_owner0", "_wg_owner1").alias("_wg_owner")))
+        self._drop([a, b])
+        return merged
 
     def _push(self, level: int, name: str) -> None:
         if level == len(self.levels):
@@ -60,9 +77,7 @@ class SortedRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(reduce(DataFrame.unionByName, (self.spark.table(x) for x in full)))
-            self._drop(full)
-            self._push(level + 1, merged)
+            self._push(level + 1, reduce(self._merge, full))
 
     def _drop(self, names: list[str]) -> None:
         for x in names:
@@ -94,8 +109,10 @@ def repeated_lines(docs: DataFrame, id_col: str, text: str, min_chars: int, batc
         for b in range(len(cuts) + 1):
             own = stored.filter(F.col("_wg_batch") == b)
             keys = own.groupBy(*KEYS).agg(F.min("_wg_id").alias("_wg_own"), F.max("_wg_id").alias("_wg_last"))
-            known = durable(runs.resolve(keys))
-            runs.add(known.filter(F.col("_wg_seen").isNull()).select(*KEYS, F.col("_wg_own").alias("_wg_owner")))
+            with runs.reading():
+                known = durable(runs.resolve(keys))
+            if b < len(cuts):  # no batch reads what the last one adds
+                runs.add(known.filter(F.col("_wg_seen").isNull()).select(*KEYS, F.col("_wg_own").alias("_wg_owner")))
             shared = known.filter(F.col("_wg_seen").isNotNull() | (F.col("_wg_own") < F.col("_wg_last"))).select(*KEYS, F.coalesce("_wg_seen", "_wg_own").alias("_wg_owner"))
             hits = own.join(bounded_broadcast(shared), list(KEYS)).filter(F.col("_wg_id") > F.col("_wg_owner"))
             dropped.append(hits.groupBy("_wg_row", "_wg_id").agg(F.sort_array(F.collect_set("_wg_at")).alias("_wg_drop")))
@@ -116,6 +133,7 @@ def _without(lines: Column, drop: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), drop.alias("drop"))), cut), 1)
 
 
+@shielded
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``_wg_n_lines`` and ``_wg_n_dropped``.
 
