@@ -153,10 +153,15 @@ def test_sha_agrees_with_hashlib(spark):
 def test_hubs(spark):
     """A node with most of the edges is kept apart; both parts together answer as the plain join does."""
     pairs = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 10)] + [(41, 42)]
-    h = Hops(spark.createDataFrame(pairs, "src long, dst long"), least=10)
-    assert h.heavy is not None and {r["src"] for r in h.heavy.collect()} == {0} and h.light.count() == 10
+    want = lambda *ids: sorted(d for s, d in pairs if s in ids)
     level = spark.createDataFrame([(0,), (3,)], "id long")
-    assert sorted(r["dst"] for r in h.step(level, "id").collect()) == sorted(d for s, d in pairs if s in (0, 3))
-    assert Hops(spark.createDataFrame(pairs, "src long, dst long")).heavy is None
+    h = Hops(spark.createDataFrame(pairs, "src long, dst long"), least=10, small=1)
+    assert sorted(r["dst"] for r in h.step(level, "id", 1).collect()) == want(0, 3) and h.light is None  # a small frontier is broadcast
+    assert "BroadcastHashJoin" in h.step(level, "id", 1)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["dst"] for r in h.step(level, "id", 2).collect()) == want(0, 3)
+    assert h.heavy is not None and {r["src"] for r in h.heavy.collect()} == {0} and h.light.count() == 10
+    even = Hops(spark.createDataFrame(pairs, "src long, dst long"), small=1)
+    assert sorted(r["dst"] for r in even.step(level, "id", 2).collect()) == want(0, 3) and even.heavy is None
     plan = h.light.join(level, h.light["src"] == level["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1
+    h.drop()

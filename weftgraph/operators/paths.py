@@ -16,20 +16,22 @@ from weftgraph.operators.hops import Hops
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
     """(source, node, depth, edge_path, node_path) for ``sources(source, node)``, up to ``max_depth`` hops.
 
-    ``edges(id, src, dst)``. Edges are dealt by ``src`` once. Per level one join, one ``min_by`` per (source, node) combined before the
+    ``edges(id, src, dst)``. Edges are stored once (see ``Hops``; a row counts as often as its path is long). Per level one join, one ``min_by`` per (source, node) combined before the
     shuffle, and one anti-join with what the source has seen.
     """
     level = sources.select("source", "node").distinct().withColumns({"depth": F.lit(0), "edge_path": F.array().cast("array<bigint>"), "node_path": F.array("node")})
     seen = level = durable(level)
-    hops = Hops(edges.select("id", "src", "dst"))
+    hops, rows = Hops(edges.select("id", "src", "dst")), level.count()
     for depth in range(1, max_depth + 1):
-        step = hops.step(level, "node").select("source", F.col("dst").alias("node"), F.concat("edge_path", F.array("id")).alias("e"), F.concat("node_path", F.array("dst")).alias("n"))
+        step = hops.step(level, "node", rows * depth).select("source", F.col("dst").alias("node"), F.concat("edge_path", F.array("id")).alias("e"), F.concat("node_path", F.array("dst")).alias("n"))
         step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
         best = step.groupBy("source", "node").agg(F.min(F.struct("e", "n")).alias("p"))
         level = durable(best.select("source", "node", F.lit(depth).alias("depth"), F.col("p.e").alias("edge_path"), F.col("p.n").alias("node_path")))
-        if level.isEmpty():
+        rows = level.count()
+        if not rows:
             break
         seen = seen.unionByName(level)
+    hops.drop()
     return seen
 
 

@@ -16,6 +16,8 @@ from weftgraph.functions.durable import durable
 from weftgraph.operators.hops import Hops
 
 MAX_SET, MAX_ROUNDS = 100, 100
+#: Rounds whose facts are written together into one table.
+COMPACT = 16
 
 
 @dataclass(frozen=True)
@@ -62,34 +64,39 @@ def analyze(values: DataFrame, edges: DataFrame, seed: str = "self", facts: Data
         start = start.union(facts.select("value", "target").join(values, "value", "left_semi")).distinct()
     pts = delta = durable(start)
     unknown = spark.createDataFrame([], "value long")
-    complete, rounds = True, 0
+    complete, rounds, n, parts = True, 0, delta.count(), 1
     while True:
-        grown = flow.step(delta, "value").select(F.col("dst").alias("value"), "target").distinct()
+        grown = flow.step(delta, "value", n).select(F.col("dst").alias("value"), "target").distinct()
         new = durable(grown.join(unknown, "value", "left_anti").join(pts, ["value", "target"], "left_anti"))
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             break
         if rounds == max_rounds:
             complete = False
             break
         rounds += 1
-        every = pts.union(new)
-        counts = every.groupBy("value").agg(F.count("*").alias("n"))
+        # After the first round only values that grew can overflow. Facts are appended by round and written together now and then.
+        every, parts = pts.union(new), parts + 1
+        grown = every if rounds == 1 else every.join(new.select("value").distinct(), "value", "left_semi")
+        counts = grown.groupBy("value").agg(F.count("*").alias("n"))
         over = durable(counts.filter(F.col("n") > max_set).select("value"))
         if over.isEmpty():
-            pts, delta = durable(every), new
+            pts, delta, parts = (every, new, parts) if parts < COMPACT else (durable(every), new, 1)
             continue
         complete = False
         unknown = durable(unknown.union(over))
         if propagate_unknown:
             unknown = _closure(unknown, flow)
-        pts, delta = durable(every.join(unknown, "value", "left_anti")), durable(new.join(unknown, "value", "left_anti"))
+        pts, delta, parts = durable(every.join(unknown, "value", "left_anti")), durable(new.join(unknown, "value", "left_anti")), 1
+        n = delta.count()
+    flow.drop()
     return PointsTo(values, pts, unknown, complete)
 
 
 def _closure(start: DataFrame, flow: Hops) -> DataFrame:
     seen = level = start
     while True:
-        step = flow.step(level, "value").select(F.col("dst").alias("value")).distinct()
+        step = flow.step(level, "value", level.count()).select(F.col("dst").alias("value")).distinct()
         level = durable(step.join(seen, "value", "left_anti"))
         if level.isEmpty():
             return durable(seen)

@@ -46,18 +46,20 @@ def reachable_within(edges: DataFrame, starts: DataFrame, hops: int, keys: tuple
     """(*keys, id, depth): breadth-first over edges of all kinds, at most ``min(hops, 100)`` deep.
 
     ``starts(*keys, id)`` are depth 0 even if the graph lacks them. With keys, each key searches alone.
-    Edges are dealt by ``src`` once; each level moves only its frontier: one join and one anti-join with
-    what was seen, checkpointed to the shared folder. The loop ends with the first empty frontier.
+    Edges are stored once; each level moves only its frontier (see ``Hops``): one join and one anti-join
+    with what was seen, checkpointed to the shared folder. The loop ends with the first empty frontier.
     """
     cols = [*keys, "id"]
     level = durable(starts.select(*cols).distinct().withColumn("depth", F.lit(0)))
-    seen, hops_of = level, Hops(edges.select("src", "dst"))
+    seen, hops_of, rows = level, Hops(edges.select("src", "dst")), level.count()
     for depth in range(1, min(hops, MAX_HOPS) + 1):
-        step = hops_of.step(level, "id").select(*keys, F.col("dst").alias("id")).distinct()
+        step = hops_of.step(level, "id", rows).select(*keys, F.col("dst").alias("id")).distinct()
         level = durable(step.join(seen, cols, "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        rows = level.count()
+        if not rows:
             break
         seen = seen.unionByName(level)
+    hops_of.drop()
     return seen.select(*cols, "depth")
 
 
