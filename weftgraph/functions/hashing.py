@@ -1,19 +1,22 @@
 """Byte-exact SHA-256 fingerprints.
 
-A stream of bytes is built as a hex string and hashed in one go (small graphs, one group a row), or
-streamed in id order to an incremental hash on the driver (whole graphs of any size).
+A stream of bytes is built as a hex string and hashed in one go (small graphs, one group a row), or built
+in blobs of a batch of rows by the executors and streamed in order to an incremental hash on the driver
+(whole graphs of any size): SHA-256 is sequential, but no row is handled there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ordering import ordered_list
-from weftgraph.model import EDGE_KINDS, NODE_KINDS, code_of
+from weftgraph.model import EDGE_KINDS, NODE_KINDS, InvariantError, code_of
 
 
 def be64(x: Column) -> Column:
@@ -58,7 +61,11 @@ def be64_of_hex(x: Column) -> Column:
 
 
 def snapshot_hashes(files: DataFrame, *by: str) -> DataFrame:
-    """``snapshot_hash`` per group of ``files(path, size, content_hash)``, in the order of the unsigned id."""
+    """``snapshot_hash`` per group of ``files(path, size, content_hash)``, in the order of the unsigned id.
+
+    For many snapshots of a few million files each: a group's stream of some 200 bytes a file is one value, which
+    Spark limits to 2 GB. One larger snapshot is streamed by ``scan.snapshot_hash``.
+    """
     payload = ordered_list(file_id(F.col("path")), snapshot_payload(F.col("path"), F.col("size"), F.col("content_hash")))
     return files.groupBy(*by).agg(sha256_of_hex(F.array_join(payload, "")).alias("snapshot_hash"))
 
@@ -71,15 +78,30 @@ def edge_bytes(kind_code: Column) -> Column:
     return F.concat(le64(F.col("id")), u8(kind_code), le64(F.col("src")), le64(F.col("dst")))
 
 
+def stream(rows: DataFrame, order: Column, payload: Column, digest) -> None:
+    """Feeds the bytes (hex) of all ``rows`` in the order of ``order`` to ``digest``.
+
+    Rows are range-partitioned and sorted; executors put the bytes of a batch together, and the driver takes
+    those blobs partition by partition. A row without bytes breaks an invariant.
+    """
+
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.column(0).null_count:
+                raise InvariantError("a row has no bytes: its kind is unknown or a column is null")
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(b.column(0).to_pylist())], pa.binary())], names=["b"])
+
+    dealt = rows.select(order.alias("_o"), F.unhex(payload).alias("_b")).repartitionByRange("_o").sortWithinPartitions("_o")
+    for (part,) in dealt.select("_b").mapInArrow(blobs, "b binary").toLocalIterator(prefetchPartitions=True):
+        digest.update(part)
+
+
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> str:
-    """SHA-256 over counts, nodes and edges in id order. Rows are streamed; memory is one partition's."""
+    """SHA-256 over counts, nodes and edges in id order; memory is some blobs."""
     digest = hashlib.sha256()
-    node = nodes.select("id", code_of(F.col("kind"), NODE_KINDS).alias("k"), "range_start", "range_end")
-    edge = edges.select("id", code_of(F.col("kind"), EDGE_KINDS).alias("k"), "src", "dst")
-    for rows in (node, edge):
+    for rows, kinds, row in ((nodes, NODE_KINDS, node_bytes), (edges, EDGE_KINDS, edge_bytes)):
         digest.update(struct.pack("<Q", rows.count()))
-        for i, k, a, b in rows.orderBy("id").toLocalIterator(prefetchPartitions=True):
-            digest.update(struct.pack("<QBQQ", i, k, a, b))
+        stream(rows, F.col("id"), row(code_of(F.col("kind"), kinds)), digest)
     return digest.hexdigest()
 
 

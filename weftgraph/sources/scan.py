@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.hashing import content_hash, file_id, snapshot_payload
+from weftgraph.functions.hashing import content_hash, file_id, snapshot_payload, stream
 
 # Language by extension, and back.
 LANGUAGES = {"rs": "Rust"}
@@ -80,12 +80,9 @@ def _plain(uri: str) -> str:
 def snapshot_hash(files: DataFrame) -> str:
     """SHA-256 over all files in the order of the unsigned id; times do not count.
 
-    Rows are streamed in order, one partition at a time: the hash is sequential, its memory is not the
-    repository's. Many small snapshots at once are ``hashing.snapshot_hashes``.
+    Blobs of rows are streamed in order: the hash is sequential, its memory is not the repository's. Many small
+    snapshots at once are ``hashing.snapshot_hashes``.
     """
     digest = hashlib.sha256()
-    payload = snapshot_payload(F.col("path"), F.col("size"), F.col("content_hash"))
-    rows = files.select(file_id(F.col("path")).alias("_id"), F.unhex(payload).alias("_bytes")).orderBy("_id")
-    for _, part in rows.toLocalIterator(prefetchPartitions=True):
-        digest.update(part)
+    stream(files, file_id(F.col("path")), snapshot_payload(F.col("path"), F.col("size"), F.col("content_hash")), digest)
     return digest.hexdigest()
