@@ -30,6 +30,14 @@ class SemanticEpoch:
         df = getattr(self, table) if table.startswith("dfg") else getattr(self.facts, table)
         return df.filter(F.col("file_id") == file_id)
 
+    def get_node(self, file_id: str, function_id: int, node_id: int) -> DataFrame:
+        """The control-flow node with the id, or no row."""
+        return self.of_file("cfg_nodes", file_id).filter((F.col("function_id") == function_id) & (F.col("node_id") == node_id)).limit(1)
+
+    def get_value(self, file_id: str, function_id: int, value_id: int) -> DataFrame:
+        """The data-flow value with the id, or no row."""
+        return self.of_file("dfg_values", file_id).filter((F.col("function_id") == function_id) & (F.col("value_id") == value_id)).limit(1)
+
     def file_ids(self) -> DataFrame:
         """(file_id): files with any table; sort by it for the epoch's order."""
         parts = [df.select("file_id") for df in (self.facts.cfg_nodes, self.dfg_values, self.facts.symbols, self.facts.scopes)]

@@ -65,8 +65,9 @@ def follow_edge_single(spark, sf_dir):
     return P.follow_edge(fk_edges(spark, sf_dir), 2 * BASE + 7, "contains")
 
 
-@query("""WITH @GRAPH SELECT d.dst AS id FROM links a JOIN links b ON a.dst = b.src AND b.kind = 'contains' JOIN links c ON b.dst = c.src AND c.kind = 'places'
-JOIN links d ON c.dst = d.src AND d.kind = 'uses' WHERE a.src = 10000000001 AND a.kind = 'contains'""")
+@query("""WITH c AS MATERIALIZED (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1), o AS MATERIALIZED (SELECT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey),
+u AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT 50000000000 + l_partkey AS id FROM o JOIN u ON l_orderkey = o_orderkey""")
 def follow_edges_multi(spark, sf_dir):
     e = fk_links(spark, sf_dir).withColumn("id", F.lit(0).cast("long"))
     ids = spark.createDataFrame([(0, BASE + 1)], "seq long, id long")
@@ -75,18 +76,19 @@ def follow_edges_multi(spark, sf_dir):
     return ids.select("id")
 
 
-@query("""WITH @GRAPH, ids AS (SELECT id FROM nodes WHERE id % 7 = 0 AND kind IN ('customer', 'part') UNION ALL SELECT id FROM nodes WHERE id % 14 = 0 AND kind = 'part' UNION ALL SELECT 90000000000 + r_regionkey FROM region)
+@query("""WITH @GRAPH, ids AS (SELECT id FROM nodes UNION ALL SELECT id FROM nodes WHERE kind IN ('part', 'region') UNION ALL SELECT 90000000000 + r_regionkey FROM region)
 SELECT id FROM ids WHERE id IN (SELECT id FROM nodes WHERE kind = 'part')""")
 def filter_kind(spark, sf_dir):
+    """The ids of all nodes, parts and regions twice, and some of no node."""
     n = fk_nodes(spark, sf_dir)
-    ids = n.filter((F.col("id") % 7 == 0) & F.col("kind").isin("customer", "part")).select("id")
-    ids = ids.union(n.filter((F.col("id") % 14 == 0) & (F.col("kind") == "part")).select("id")).union(read(spark, sf_dir, "region").select((9 * BASE + F.col("r_regionkey")).alias("id")))
+    ids = n.select("id").union(n.filter(F.col("kind").isin("part", "region")).select("id")).union(read(spark, sf_dir, "region").select((9 * BASE + F.col("r_regionkey")).alias("id")))
     return P.filter_ids(ids, n, "part")
 
 
-@query("""WITH @GRAPH, a AS (SELECT u.dst AS id FROM customer JOIN links p ON p.src = 30000000000 + c_custkey AND p.kind = 'places' JOIN links u ON u.src = p.dst AND u.kind = 'uses' WHERE c_mktsegment = 'BUILDING'),
-b AS (SELECT l.dst AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey AND n_regionkey = 2 JOIN links l ON l.src = 40000000000 + s_suppkey AND l.kind = 'supplies')
-SELECT id FROM a WHERE id IN (SELECT id FROM b)""")
+@query("""WITH o AS MATERIALIZED (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'), u AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+a AS MATERIALIZED (SELECT l_partkey FROM o JOIN u ON l_orderkey = o_orderkey), s AS MATERIALIZED (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2),
+b AS MATERIALIZED (SELECT DISTINCT l_partkey FROM lineitem JOIN s ON l_suppkey = s_suppkey)
+SELECT 50000000000 + a.l_partkey AS id FROM a JOIN b USING (l_partkey)""")
 def intersect_nodes(spark, sf_dir):
     e = fk_links(spark, sf_dir, "places", "supplies", "uses")
     buyers = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(node_id("customer", F.col("c_custkey")).alias("id"))
@@ -345,12 +347,17 @@ def taint_tainted(spark, sf_dir):
     return _taint(spark, sf_dir).tainted()
 
 
-@query("WITH @CHAIN SELECT user_id, least(max(n), 50) AS tainted, CAST(least(max(n), 50) - 1 AS INTEGER) AS max_depth FROM c GROUP BY user_id")
+@query("""WITH @CHAIN, t AS (SELECT user_id, least(max(n), 50) AS tainted FROM c GROUP BY user_id), h AS (SELECT user_id, count(*) AS hits, CAST(max(k) - 1 AS INTEGER) AS deepest FROM c WHERE k IN (2, 25, 50, 51, 60) AND k <= 50 GROUP BY user_id)
+SELECT user_id, tainted, coalesce(hits, 0) AS hits, deepest FROM t LEFT JOIN h USING (user_id)""")
 def taint_depth_cap(spark, sf_dir):
+    """Taint along each user's chain of events, from the first, with sinks on both sides of the depth cap."""
     e, first = _chain(spark, sf_dir)
-    # A chain's paths are known from its depth: only depths are kept, as the visited set of the analysis is.
-    seen = P.reachable_within(e, first, taint.MAX_DEPTH - 1, ("user_id",))
-    return seen.groupBy("user_id").agg(F.count("*").alias("tainted"), F.max("depth").alias("max_depth"))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    at = read(spark, sf_dir, "events").select("event_id", place.alias("k"))
+    sinks = at.filter(F.col("k").isin(2, 25, 50, 51, 60)).select(F.lit("Return").alias("kind"), F.col("event_id").alias("node"))
+    found = taint.analyze(e, first.select(F.col("user_id").alias("source"), F.lit("Parameter").alias("kind"), F.col("id").alias("node")), sinks)
+    hits = found.paths.groupBy("source").agg(F.count("*").alias("hits"), F.max("depth").alias("deepest"))
+    return found.visited.groupBy("source").agg(F.count("*").alias("tainted")).join(hits, "source", "left").select(F.col("source").alias("user_id"), "tainted", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "deepest")
 
 
 @query("WITH @GRAPH SELECT p.id AS value, 1 + count(l.src) AS n_targets, FALSE AS is_unknown FROM nodes p LEFT JOIN links l ON l.dst = p.id AND l.kind = 'supplies' WHERE p.kind IN ('part', 'supplier') GROUP BY p.id")
@@ -492,8 +499,11 @@ def fused_graph_stats(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS lets, count(*) FILTER (WHERE turn % 2 = 1) AS ifs FROM conversations GROUP BY conv_id)
-SELECT CAST(3 AS BIGINT) AS epoch_id, count(*) AS files, count(*) AS cfgs, count(*) AS dfgs, CAST(sum(1 + lets + 2 * ifs) AS BIGINT) AS tracked_ranges FROM t""")
+SELECT CAST(3 AS BIGINT) AS epoch_id, count(*) AS files, count(*) AS cfgs, count(*) AS dfgs, CAST(sum(1 + lets + 2 * ifs) AS BIGINT) AS tracked_ranges, CAST(sum(CASE WHEN ifs >= 2 THEN ifs ELSE 0 END) AS BIGINT) AS tracked_nodes FROM t""")
 def semantic_stats(spark, sf_dir):
     """Source text through parser and data flow: sizes of the semantic epoch."""
     facts = rust.analyze(_sources(spark, sf_dir).select("file_id", "content"))
-    return SemanticEpoch.build(facts, 3).stats().drop("tracked_nodes")
+    return SemanticEpoch.build(facts, 3).stats()
+
+
+from weftgraph import code_queries  # noqa: E402, F401  registers the queries over source code, snapshots and plans
