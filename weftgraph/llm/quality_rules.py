@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD, text_of
+from weftgraph.llm.common import WORD, shielded, text_of
 
 # Frequent words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -130,14 +130,21 @@ def compile_rules(rules=RULES, prefix: str = "_wg_") -> Column:
     return passed
 
 
+@shielded
 def judge(docs: DataFrame, text: str = "text", rules=RULES, prefix: str = "_wg_") -> DataFrame:
     """``docs`` with all metrics, ``base_failed`` and ``kept`` (each prefixed)."""
     return with_metrics(docs, text, prefix).withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & compile_rules(rules, prefix))
 
 
+@shielded
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns only."""
-    return judge(docs, text, rules).filter("_wg_kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with their own columns only.
+
+    The verdict depends on the partition's number (always at least 0): a filter over an indeterminate column
+    stays above the projection, which thus computes each metric once, not once per use in the condition.
+    """
+    verdict = F.col("_wg_kept") & (F.spark_partition_id() >= 0)
+    return judge(docs, text, rules).withColumn("_wg_verdict", verdict).filter("_wg_verdict").select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
