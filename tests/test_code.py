@@ -12,6 +12,7 @@ from weftgraph.cli import main
 from weftgraph.config import Config, ConfigError
 from weftgraph.engine import Engine
 from weftgraph.functions.hashing import cfg_hashes, graph_hash
+from weftgraph.model import SCHEMAS
 from weftgraph.operators import points_to
 from weftgraph.operators.fusion import build_dfg, call_edges, extension_edges, fuse
 from weftgraph.operators.semantic import SemanticEpoch
@@ -319,3 +320,19 @@ def test_stream(spark, tmp_path):
     push("2.json", [("a", "2", 2, False), ("b", None, 2, True), ("c", "1", 2, False)])
     assert got == [{("a", "Added"), ("b", "Added")}, {("a", "Modified"), ("b", "Deleted"), ("c", "Added")}]
     assert {tuple(r) for r in s.current().collect()} == {("a", "2"), ("c", "1")}
+
+
+def test_savers_at_once(spark, tmp_path):
+    """Two savers never share a number, and one that failed with its claim only leaves a gap."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from weftgraph.model import PropertyGraph
+
+    nodes = spark.createDataFrame([(i, "Function", 4, None, i, i + 1, None) for i in range(3)], SCHEMAS["nodes"])
+    graph = PropertyGraph(nodes, spark.createDataFrame([], SCHEMAS["edges"]))
+    with ThreadPoolExecutor(3) as pool:
+        ids = sorted(n for n, _ in pool.map(lambda _: snapshot.save(graph, str(tmp_path)), range(3)))
+    assert ids == [1, 2, 3] == snapshot.snapshot_ids(spark, str(tmp_path))
+    assert snapshot.Store(spark, str(tmp_path)).claim("_claim-4") and not snapshot.Store(spark, str(tmp_path)).claim("_claim-4")
+    assert snapshot.save(graph, str(tmp_path))[0] == 5
+    assert all(snapshot.verify(spark, f"{tmp_path}/snap-{n}") for n in (1, 2, 3, 5))

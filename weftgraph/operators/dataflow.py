@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 from weftgraph.functions.durable import durable, durable_by
 
+#: Rounds whose facts are written together into one table.
+COMPACT = 16
+
 
 def defined_name(statement: Column, raw: bool = False) -> Column:
     """The variable that a statement defines (``let v ...`` or ``v = ...``), else null.
@@ -41,13 +44,14 @@ def reaching_definitions(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
     gen = durable(nodes.filter(F.col("var").isNotNull()).select(*keys, "node_id", "var", "def_id"))
     hop = durable_by(edges.select(*keys, "src", "dst").distinct(), *keys, "src")
     cols = [*keys, "node_id", "var", "def_id"]
-    out, seen = gen, None
+    out, seen, parts = gen, None, 0
     for _ in range(max_rounds):
         arrive = out.withColumnRenamed("node_id", "src").join(hop, [*keys, "src"]).select(*keys, F.col("dst").alias("node_id"), "var", "def_id").distinct()
         new = durable(arrive if seen is None else arrive.join(seen, cols, "left_anti"))
         if new.isEmpty():
             break
-        seen = new if seen is None else durable(seen.union(new))
+        parts += 1  # facts are appended by round and written together now and then
+        seen = new if seen is None else seen.union(new) if parts % COMPACT else durable(seen.union(new))
         out = new.join(gen.select(*keys, "node_id", "var"), [*keys, "node_id", "var"], "left_anti")
     else:
         raise RuntimeError("reaching definitions did not settle")

@@ -11,6 +11,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from weftgraph.functions.hashing import graph_hash
@@ -62,6 +63,16 @@ class Store:
         if not self.fs.rename(self.path(f"{self.root}/{a}"), self.path(f"{self.root}/{b}")):
             raise SnapshotError(f"{b} cannot be created in {self.root}")
 
+    def claim(self, name: str) -> bool:
+        """Creates an empty file; false if it is there already. Of several callers one is told true."""
+        try:
+            self.fs.create(self.path(f"{self.root}/{name}"), False).close()
+            return True
+        except Py4JJavaError:
+            if self.fs.exists(self.path(f"{self.root}/{name}")):
+                return False
+            raise
+
     def remove(self, name: str) -> None:
         self.fs.delete(self.path(f"{self.root}/{name}"), True)
 
@@ -78,13 +89,21 @@ def save(graph: PropertyGraph, root: str) -> tuple[int, str]:
     """(snapshot id, fingerprint); ids count up from 1."""
     spark = graph.nodes.sparkSession
     store = Store(spark, root)
-    new, hidden = max(snapshot_ids(spark, root), default=0) + 1, f"_tmp-{uuid.uuid4().hex}"
+    hidden = f"_tmp-{uuid.uuid4().hex}"
     for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
         df.write.parquet(f"{store.root}/{hidden}/{name}")
     written = _tables(spark, f"{store.root}/{hidden}", graph.epoch_id)
     digest = graph_hash(written.nodes, written.edges)
     store.write(f"{hidden}/manifest.json", json.dumps(asdict(Manifest(VERSION, graph.epoch_id, digest, int(time.time())))))
+    new = max(snapshot_ids(spark, root), default=0) + 1
+    while True:  # who holds a number's claim may create its folder; a claim left by a writer that failed keeps it unused
+        if store.claim(f"_claim-{new}"):
+            if f"snap-{new}" not in store.names():
+                break
+            store.remove(f"_claim-{new}")
+        new += 1
     store.move(hidden, f"snap-{new}")
+    store.remove(f"_claim-{new}")
     return new, digest
 
 
