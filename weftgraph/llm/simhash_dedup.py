@@ -351,8 +351,12 @@ def _rooted(docs: DataFrame, id_col: str, text: str, shingle: int, words: int, s
     # The root of each key's class, then the smallest id of the class.
     rooted = nodes.join(linked_to, nodes["_wg_key"] == linked_to["u"], "left").select("_wg_key", "_wg_first", F.coalesce("root", "_wg_key").alias("_wg_root"))
     rooted = durable(rooted)
-    classes = rooted.groupBy("_wg_root").agg(F.min("_wg_first").alias("_wg_component"))
-    return rows, durable(rooted.join(classes, "_wg_root").select("_wg_key", "_wg_root", "_wg_component"))
+    # Keys that are alone are their own class. The others' classes are a table of their own, so that the join has
+    # nothing but exchanges below it and a class of many keys can be split.
+    classes = rooted.groupBy("_wg_root").agg(F.min("_wg_first").alias("_wg_least"), F.count("*").alias("n")).filter("n > 1")
+    classes = durable(classes.select("_wg_root", "_wg_least", F.lit(True).alias("_wg_many")))
+    named = rooted.join(bounded_broadcast(classes), "_wg_root", "left")
+    return rows, durable(named.select("_wg_key", "_wg_root", F.when(F.col("_wg_many"), F.col("_wg_least")).otherwise(F.col("_wg_first")).alias("_wg_component")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, words: int = 4, similarity: float = 0.8, radius: int | None = None, tile_factor: int = 40) -> DataFrame:
