@@ -1,7 +1,13 @@
 """Search, URL filter, quality classifier."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -105,6 +111,57 @@ def test_char_model():
     assert all(f.score(b"docs.site/x%d" % i) >= f.threshold > f.score(b"spam-win.biz/x%d" % i) for i in range(300, 340))
 
 
+def brute_url_scores(urls, verdicts, order=5):
+    """(mean log-likelihood ratio of each URL, threshold): the models as plain sums over all training URLs.
+
+    Training URLs are distinct, in the order of their XXH64; every fifth calibrates.
+    """
+    signed = lambda b: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(b, 42))
+    classes = {w: sorted({u.encode() for u, v in zip(urls, verdicts) if v == w}, key=lambda b: (signed(b), b)) for w in ("allow", "block")}
+
+    def model(own):
+        seen = {}
+        for u in own:
+            s = b"\x02" + u + b"\x03"
+            for i in range(1, len(s)):
+                for k in range(min(i, order) + 1):
+                    seen.setdefault(s[i - k : i], []).append(s[i])
+        seen = {c: (Counter(n), len(n)) for c, n in seen.items()}
+
+        def prob(context, byte):
+            p = 1 / 256
+            for k in range(len(context) + 1):  # from no context to the whole one
+                n, total = seen.get(context[len(context) - k :], (Counter(), 0))
+                p = (n[byte] + len(n) * p) / (total + len(n)) if total else p
+            return p
+
+        def mean(u):
+            s = b"\x02" + u + b"\x03"
+            return sum(math.log(prob(s[max(0, i - order) : i], s[i])) for i in range(1, len(s))) / (len(s) - 1)
+
+        return mean
+
+    good, bad = (model([u for i, u in enumerate(classes[w]) if i % 5] or classes[w]) for w in ("allow", "block"))
+    held = {w: [good(u) - bad(u) for i, u in enumerate(classes[w]) if not i % 5] for w in classes}
+    points = sorted({*held["allow"], *held["block"], 0.0})
+    cuts = [(a + b) / 2 for a, b in zip(points, points[1:])]
+    wrong = [sum(x < c for x in held["allow"]) / len(held["allow"]) + sum(x >= c for x in held["block"]) / len(held["block"]) for c in cuts]
+    threshold = min((c for c, w in zip(cuts, wrong) if math.isclose(w, min(wrong))), key=abs)
+    return [good(u.encode()) - bad(u.encode()) for u in urls], threshold
+
+
+def test_url_query_brute(spark, sf_dir):
+    """The registered query row by row: a second implementation of models, threshold and verdict."""
+    rows = QUERIES["op6_url_filters"](spark, sf_dir).collect()
+    urls = {r["page_id"]: r["url"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    scores, threshold = brute_url_scores([urls[r["page_id"]] for r in rows], [r["verdict"] if r["rule"] else None for r in rows])
+    assert len(rows) == len(urls) and any(not r["rule"] for r in rows)
+    for r, s in zip(rows, scores):
+        assert abs(r["score"] - s) < 1e-9
+        if not r["rule"] and abs(s - threshold) > 1e-9:
+            assert r["verdict"] == ("allow" if s >= threshold else "block")
+
+
 def test_url_query(spark, sf_dir):
     r = QUERIES["op6_url_filters"](spark, sf_dir)
     assert r.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
@@ -131,6 +188,87 @@ def test_ordinal_model():
     assert ((tails > 0.5).sum(1) == grade).mean() > 0.95
 
 
+def brute_features(text, bits=18):
+    """{(part, number): value}: words by 1 + log of their count, marks and case by eight times their share."""
+    words = [w for w in re.split(r"[ \t\n\r\f\v]+", text or "") if w]
+    number = lambda b: xxhash.xxh64_intdigest(b) % (1 << bits)
+    count, share = Counter(), Counter()
+    for w in words:
+        raw = w.encode()
+        core = re.sub(rb"^[^0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff]+$", b"", raw)
+        count[number(b"w " + core.lower())] += 1
+        share[number(b"m " + re.search(rb"[#*$%&|<>!?.,;:]*$", raw).group())] += 1
+        share[number(b"upper")] += len(core) > 1 and core.isupper()
+    return {("w", k): 1 + math.log(n) for k, n in count.items()} | {("s", k): 8 * n / len(words) for k, n in share.items() if n}
+
+
+def brute_grades(labelled, texts):
+    """Expected grades by plain sums: screen, fit and score again, document by document."""
+    data = [(brute_features(t), g) for _, t, g in sorted(labelled)]
+    df, above, keep = Counter(), [Counter(), Counter()], set()
+    for f, g in data:
+        for k in {k for _, k in f}:
+            df[k] += 1
+            for j in range(g):
+                above[j][k] += 1
+    for k, n in df.items():
+        for j in range(2):
+            p = sum(g > j for _, g in data) / len(data)
+            spread = math.sqrt(max(n * p * (1 - p) * (1 - n / len(data)), 1e-9))
+            if n >= 4 and spread > 1e-3 and abs(above[j][k] - n * p) >= 4 * spread:
+                keep.add(k)
+    w, g2, cuts, cut2 = Counter(), {k: 1e-2 for k in keep}, [-0.5, 0.5], [1.0, 1.0]
+    held = Counter(g for _, g in data)
+    weight = [math.sqrt(len(data) / max(1, held[g]) / 3) for g in range(3)]
+    logistic = lambda x: 1 / (1 + math.exp(min(30, max(-30, x))))
+    rng = np.random.default_rng(7)
+    rows = [([(k, v) for (_, k), v in f.items() if k in keep], g) for f, g in data]
+    assert all(len({k for k, _ in r}) == len(r) for r, _ in rows)  # no word shares its number with a mark here
+    for _ in range(20):
+        for i in rng.permutation(len(rows)):
+            f, y = rows[i]
+            score = sum(w[k] * v for k, v in f)
+            full = [0.0, *(logistic(score - c) for c in cuts), 1.0]
+            slope = [x * (1 - x) for x in full]
+            p = max(full[y + 1] - full[y], 1e-9)
+            up = weight[y] * (slope[y + 1] - slope[y]) / p
+            for k, v in f:
+                grad = up * v + 1e-5 * w[k]
+                g2[k] += grad * grad
+                w[k] -= 0.1 * grad / math.sqrt(g2[k])
+            step = [0.0, 0.0]
+            if y < 2:
+                step[y] -= weight[y] * slope[y + 1] / p
+            if y:
+                step[y - 1] += weight[y] * slope[y] / p
+            for j in range(2):
+                cut2[j] += step[j] ** 2
+            cuts = [c - 0.1 * s / math.sqrt(q) for c, s, q in zip(cuts, step, cut2)]
+            cuts[1] = max(cuts)
+    return [sum(logistic(c - sum(w[k] * v for (_, k), v in brute_features(t).items())) for c in cuts) for t in texts]
+
+
+def test_classifier_query_brute(spark):
+    """The registered query row by row, on one hundredth of the documents: a second implementation of features, screen, fit and score."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").dropna().collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op8_quality_classifier"](spark, sf).collect()}
+    want = brute_grades([(i, docs[i], 0 if r["toxic"] else 1 + (r["quality"] > 0)) for i, r in labels.items() if i in docs], docs.values())
+    assert len(got) == len(docs)
+    assert max(abs(got[i]["expected_grade"] - g) for i, g in zip(docs, want)) < 1e-4
+
+
+def test_long_texts_count_whole(spark):
+    """A text of 30,000 distinct words keeps its marks and case, in fitting and in scoring alike."""
+    long = " ".join(f"w{i}" for i in range(30_000)) + " END! SHOUT!"
+    idx, val = Q.Features()(long)
+    want = brute_features(long)
+    assert sorted(zip(idx.tolist(), val.round(9).tolist())) == sorted((k, round(v, 9)) for (_, k), v in want.items())
+    some = Q.Features().table(pa.array(["a b", None, "", long, "B! c"]), None)
+    assert sorted(set(some[0].tolist())) == [0, 3, 4] and (some[0] == 3).sum() == len(idx)
+
+
 def test_held_out(spark):
     """Trained on even ids, judged on odd ones."""
     top = "/root/testdata/sf0.1"
