@@ -14,6 +14,7 @@ size 0 bring no words and stay or go by their place in the queue (they go if the
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,24 +29,38 @@ REPEATS = 3
 RANGES = 4096
 
 
+def _ranked(total: DataFrame) -> DataFrame:
+    """``total`` with ``_wg_idx``, its row's place by source in code-point order, null last; no task sees all rows."""
+    dealt = total.withColumn("_wg_null", F.col("_wg_source").isNull()).repartitionByRange("_wg_null", "_wg_source")
+    dealt = durable(dealt.withColumn("_wg_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in dealt.groupBy("_wg_part").agg(F.count("*")).collect())  # a row per partition
+    before = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0)))
+    base = F.coalesce(*(F.when(F.col("_wg_part") == p, F.lit(n).cast("long")) for p, n in before.items()), F.lit(0).cast("long"))
+    inside = F.row_number().over(W.partitionBy("_wg_part").orderBy("_wg_null", "_wg_source")) - 1
+    return dealt.withColumn("_wg_idx", base + inside).drop("_wg_part", "_wg_null")
+
+
 def source_targets(rows: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """(_wg_source, _wg_source_size, _wg_idx, _wg_target) per source.
 
     Sources in code-point order, null last, take the weights in turn and share the budget, the sum of all
     sizes. No target exceeds ``repeats`` times its source's size; the excess goes to the others by weight.
-    Water-filling in closed form: in the order of cap / weight, a source is capped while its share of what
-    is left is no less than its cap. The table has a row a source, far fewer than documents.
+    Water-filling: sources whose share reaches their cap are filled, the rest share what is left, until no more
+    fill; each round is one aggregate over the sources, of which there may be many.
     """
     total = rows.groupBy("_wg_source").agg(F.sum("_wg_size").alias("_wg_source_size"))
-    idx = (F.row_number().over(W.orderBy(F.col("_wg_source").asc_nulls_last())) - 1).cast("long")
-    s = total.withColumn("_wg_idx", idx)
-    s = s.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("_wg_idx") % len(weights) + 1).cast("int"))).withColumn("cap", (repeats * F.col("_wg_source_size")).cast("double"))
-    order = W.orderBy((F.col("cap") / F.col("w")), "_wg_idx").rowsBetween(W.unboundedPreceding, -1)
-    every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumns({"b": F.sum("_wg_source_size").over(every).cast("double"), "all_w": F.sum("w").over(every), "c0": F.coalesce(F.sum("cap").over(order), F.lit(0.0)), "w0": F.coalesce(F.sum("w").over(order), F.lit(0.0))})
-    s = s.withColumn("full", (F.col("b") - F.col("c0")) * F.col("w") >= F.col("cap") * (F.col("all_w") - F.col("w0")))
-    s = s.withColumns({"c": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every), "cw": F.sum(F.when(F.col("full"), F.col("w")).otherwise(0.0)).over(every)})
-    target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * (F.col("b") - F.col("c")) / (F.col("all_w") - F.col("cw")))
+    s = durable(_ranked(total).withColumns({"w": F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("_wg_idx") % len(weights) + 1).cast("int")), "cap": (repeats * F.col("_wg_source_size")).cast("double")}))
+    budget, every = s.agg(F.coalesce(F.sum("_wg_source_size").cast("double"), F.lit(0.0)), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    filled = held = 0.0  # caps and weights of the sources that are full
+    while True:
+        full = (F.lit(budget) - filled) * F.col("w") >= F.col("cap") * (F.lit(every) - held)
+        c, w = s.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(full, F.col("w"))), F.lit(0.0))).first()
+        if (c, w) == (filled, held) or w == every:
+            break
+        filled, held = c, w
+    if w == every:  # all are full
+        full, filled, held = F.lit(True), 0.0, 0.0
+    target = F.when(full, F.col("cap")).otherwise(F.try_divide(F.col("w") * (F.lit(budget) - filled), F.lit(every) - held))
     return s.select("_wg_source", "_wg_source_size", "_wg_idx", target.alias("_wg_target"))
 
 
