@@ -75,19 +75,15 @@ def with_metrics(docs: DataFrame, text: str = "text", prefix: str = "_wg_") -> D
     """``docs`` with the base counts and the ratios of the table, each named with ``prefix``."""
     t, n = text_of(text), F.col(f"{prefix}n_words")
     col = lambda name: F.col(f"{prefix}{name}")
-    windows = _bind(
-        F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-        lambda w: F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")),
-    )
+    words = col("words")
+    windows = F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
     letters = lambda keep: F.length(F.regexp_replace(t, keep, "")).cast("long")
     of_lines = lambda pattern: F.size(F.filter(col("lines"), lambda x: x.rlike(pattern)))
     first = docs.withColumns(
         {
             f"{prefix}words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-            f"{prefix}windows": windows,
             f"{prefix}lines": lines,
-            f"{prefix}word_chars": letters(r"[\x20\x09-\x0D]+"),
             f"{prefix}n_symbols": letters(r"[^#*$%&|<>]+"),
             f"{prefix}n_shouts": letters(r"[^!]+"),
             f"{prefix}n_capitals": letters(r"[^A-Z]+"),
@@ -95,15 +91,18 @@ def with_metrics(docs: DataFrame, text: str = "text", prefix: str = "_wg_") -> D
     )
     second = first.withColumns(
         {
-            f"{prefix}n_words": F.size(col("words")).cast("long"),
+            f"{prefix}n_words": F.size(words).cast("long"),
+            f"{prefix}windows": windows,
+            f"{prefix}word_chars": F.length(F.array_join(words, "")).cast("long"),
             f"{prefix}n_stop_words": F.size(F.filter(col("words"), lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
             f"{prefix}n_lines": F.size(col("lines")).cast("long"),
             f"{prefix}n_dup_lines": (F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("long"),
             f"{prefix}n_bullets": of_lines(r"^[\x20\x09-\x0D]*[-*•]"),
             f"{prefix}n_ellipses": of_lines(r"(\.\.\.|…)[\x20\x09-\x0D]*$"),
-            f"{prefix}n_repeat_words": F.when(F.size(F.array_distinct(col("windows"))) < F.size(col("windows")), _covered(col("windows"))).otherwise(0).cast("long"),
         }
     )
+    repeated = F.when(F.size(F.array_distinct(col("windows"))) < F.size(col("windows")), _covered(col("windows"))).otherwise(0).cast("long")
+    second = second.withColumn(f"{prefix}n_repeat_words", repeated)
     ratio = lambda a, b: F.when(col(b) > 0, col(a) / col(b)).otherwise(0.0)
     return second.withColumns(
         {
