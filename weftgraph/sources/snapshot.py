@@ -65,11 +65,16 @@ class Store:
 
     def claim(self, name: str) -> bool:
         """Creates an empty file; false if it is there already. Of several callers one is told true."""
+        p = self.path(f"{self.root}/{name}")
+        if self.fs.getUri().getScheme() == "file":  # Hadoop's local store looks first and creates then; the system call is exclusive
+            own = self.spark._jvm.java.io.File(p.toUri().getPath())
+            own.getParentFile().mkdirs()
+            return own.createNewFile()
         try:
-            self.fs.create(self.path(f"{self.root}/{name}"), False).close()
+            self.fs.create(p, False).close()
             return True
-        except Py4JJavaError:
-            if self.fs.exists(self.path(f"{self.root}/{name}")):
+        except Py4JJavaError as e:  # stores differ in the class: ours, or a general one for a file that is there
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException" or self.fs.exists(p):
                 return False
             raise
 
