@@ -132,6 +132,18 @@ def test_similarity_border(spark, none):
     assert [i for i in range(0, 120, 2) if got[i + 1] != i] == [] and all(got[i] == i for i in range(120, 240))
 
 
+@pytest.mark.parametrize(("shingles", "changes"), [(46, 1), (60, 1), (92, 2), (184, 4), (920, 20)])
+def test_recall_by_length(spark, none, shingles, changes):
+    """Of 80 pairs just above the similarity at least nine in ten meet, whatever their length; all copies beside them do."""
+    rng = random.Random(shingles)
+    texts = [t for k in range(80) for t in planted(rng, f"s{shingles}k{k}", shingles, changes)]
+    assert 0.8 <= (shingles - 5 * changes) / (shingles + 5 * changes) < 0.86
+    docs = spark.createDataFrame(rows([(i, t, "s") for i, t in enumerate(texts)] + [(1000, texts[0], "s")]), none.schema)
+    got = {r["_wg_id"]: r["_wg_component"] for r in S.near_groups(docs).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 160, 2)) >= 76 and got[1000] == 0
+    assert all(got[i] == i for i in range(0, 160, 2))
+
+
 def test_repeated_shingles(spark, none):
     """Similarity is one of sets: how often a shingle repeats does not count."""
     own = " ".join(f"w{i}" for i in range(40))
