@@ -58,6 +58,25 @@ def test_pruning_is_exact(seed):
         assert np.allclose(scores, full[order], atol=2e-6) and np.allclose(full[shard.ids[docs]], scores, atol=2e-6)
 
 
+def test_queries_share_products():
+    """Queries that stop at the same blocks have them scored together, and find what each finds alone."""
+    rng = np.random.default_rng(5)
+    held = []
+    for i in range(1500):
+        n = int(rng.integers(1, 60))
+        t, c = np.unique(rng.zipf(1.3, n).clip(1, 500).astype(np.uint64), return_counts=True)
+        held.append((i, t, c.astype(np.int64), n))
+    s = topk_search.build_shard(held)
+    new = lambda: topk_search.Shard(s["n"], s["ids"], s["lengths"], s["terms"], s["ends"], s["docs"], s["tfs"], 30.0)
+    shard, idf = new(), lambda t: np.log(1 + 1500 / (1 + t.astype(float)))
+    queries = [(shard.find(t), idf(t)) for _, t, _, _ in held[:250]] + [(np.full(1, len(shard.terms)), np.ones(1)), (np.zeros(0, np.int64), np.zeros(0))]
+    together = list(shard.search(queries, 10, np.zeros(252)))
+    assert shard.products < len(queries) and not len(together[-1][0]) and not len(together[-2][0])
+    for q, (docs, scores) in zip(queries[:250:5], together[:250:5]):
+        (alone, own), = new().search([q], 10, np.zeros(1))
+        assert np.array_equal(alone, docs) and np.array_equal(own, scores)
+
+
 def test_search_odd(odd, none):
     got = topk_search.search(odd, odd, k=3)
     r = table(got, "query_id", "rank", "doc_id")
