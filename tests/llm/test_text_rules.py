@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,15 @@ def test_kept_hash_of_query(spark, sf_dir):
     same = [x for x in r if not x["n_removed"]]
     assert len(r) == len(texts) and all(x["kept_sha256"] == hashlib.sha256(texts[x["doc_id"]].encode()).hexdigest() for x in same)
     assert any(x["n_removed"] for x in r)
+
+
+def test_span_rows_carry_no_hash(spark, odd, monkeypatch):
+    """Only rows whose id repeats are told apart by a hash of their text; the result is as with hashes everywhere."""
+    named = substring_dedup._named(odd, "doc_id", "text").select("_wg_id", "_wg_row").collect()
+    repeated = {k for k, n in Counter(r["_wg_id"] for r in named).items() if n > 1}
+    assert repeated == {4, substring_dedup.LAST_ID} and all((r["_wg_row"] != 0) == (r["_wg_id"] in repeated) for r in named)
+    cols = ("doc_id", "text", "_wg_n_removed", "_wg_words_removed", "_wg_removed")
+    few = table(substring_dedup.remove_repeats(odd), *cols)
+    monkeypatch.setattr(substring_dedup, "REPEATED_IDS", 1)
+    assert all(r["_wg_row"] for r in substring_dedup._named(odd, "doc_id", "text").collect())
+    assert table(substring_dedup.remove_repeats(odd), *cols) == few

@@ -44,6 +44,8 @@ MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 28, 50
 LONG_SENTENCE, LEAST_UNIT, CUT_EVERY = 16, 3, 6
 LAST_ID = 2**63 - 1
 ROWS = 50_000
+#: Repeated ids that are broadcast.
+REPEATED_IDS = 20_000
 
 
 def sentences(data: bytes) -> list[tuple[int, int]]:
@@ -93,7 +95,24 @@ def spans(data: bytes, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_
     return out
 
 
-def _span_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with _wg_id and _wg_row, which tells texts of one id apart: a hash of the text where ids repeat, else 0.
+
+    Every span carries it through two shuffles, where a hash cannot be compressed. Should more than
+    ``REPEATED_IDS`` ids repeat, all rows have the hash.
+    """
+    own, row = docs.withColumn("_wg_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))), F.xxhash64(text_of(text))
+    repeated = own.groupBy("_wg_id").count().filter("count > 1").select(F.col("_wg_id").alias("_wg_twice")).limit(REPEATED_IDS + 1)
+    ids = [r[0] for r in repeated.collect()]
+    if not ids:
+        return own.withColumn("_wg_row", F.lit(0).cast("long"))
+    if len(ids) > REPEATED_IDS:
+        return own.withColumn("_wg_row", row)
+    few = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in ids], "_wg_twice long"))
+    return own.join(few, F.col("_wg_id") == F.col("_wg_twice"), "left").withColumn("_wg_row", F.when(F.col("_wg_twice").isNotNull(), row).otherwise(F.lit(0).cast("long"))).drop("_wg_twice")
+
+
+def _span_rows(docs: DataFrame, text: str) -> DataFrame:
     """(_wg_id, _wg_row, _wg_bytes, _wg_h1, _wg_h2, _wg_again) per span; the last tells a copy within its document.
 
     ``_wg_bytes`` holds start and end in the UTF-8 text, 32 bits each.
@@ -121,14 +140,14 @@ def _span_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         if ids:
             yield batch()
 
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_wg_id"), F.xxhash64(text_of(text)).alias("_wg_row"), text_of(text).alias("_wg_text"))
+    slim = docs.select("_wg_id", "_wg_row", text_of(text).alias("_wg_text"))
     return slim.mapInArrow(make, "_wg_id long, _wg_row long, _wg_bytes long, _wg_h1 long, _wg_h2 long, _wg_again boolean")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_wg_id, _wg_row, _wg_spans): the non-first spans of each document, as ``_wg_bytes`` in order."""
+def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(_wg_id, _wg_row, _wg_spans): the non-first spans of each document of ``_named``, as ``_wg_bytes`` in order."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.store(_span_rows(docs, id_col, text))
+    rows = scratch.store(_span_rows(docs, text))
     once = rows.filter(~F.col("_wg_again")).drop("_wg_again")
     doc = F.struct("_wg_id", "_wg_row")
     firsts = once.groupBy("_wg_h1", "_wg_h2").agg(F.min(doc).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -171,8 +190,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     ``_wg_removed`` lists the removed ranges of the whole text as [start, end) code points.
     """
-    found = repeated_spans(docs, id_col, text)
-    keyed = docs.withColumns({"_wg_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_wg_row": F.xxhash64(text_of(text))})
+    keyed = _named(docs, id_col, text)
+    found = repeated_spans(keyed, text)
     joined = keyed.join(found, ["_wg_id", "_wg_row"], "left").select(*docs.columns, "_wg_spans")
     at, n = joined.columns.index(text), len(docs.columns)
 
